@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from tagsim.llm.line_dedup import OP9_SQL, op9_line_dedup
+from tagsim.llm.mixing import op10_mix_sources
+from tagsim.llm.quality_rules import OP3_SQL, op3_quality_rules
+from tagsim.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
-ORACLES = {"op9_line_dedup": OP9_SQL}
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op6_url_filter": op6_url_filter,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mix_sources": op10_mix_sources,
+}
+ORACLES = {"op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL}
