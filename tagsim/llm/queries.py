@@ -5,8 +5,10 @@ from __future__ import annotations
 from tagsim.llm.cover_tree import OP1_SQL, op1_cover_tree
 from tagsim.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tagsim.llm.mixing import op10_mix_sources
+from tagsim.llm.packing import op5_pack
 from tagsim.llm.quality_rules import OP3_SQL, op3_quality_rules
 from tagsim.llm.simhash import op2_simhash
+from tagsim.llm.token_counts import op7_token_counts
 from tagsim.llm.token_files import op4_token_files
 from tagsim.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
+    "op7_token_counts": op7_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
