@@ -8,6 +8,7 @@ from tagsim.llm.mixing import op10_mix_sources
 from tagsim.llm.packing import op5_pack
 from tagsim.llm.quality_rules import OP3_SQL, op3_quality_rules
 from tagsim.llm.simhash import op2_simhash
+from tagsim.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from tagsim.llm.token_counts import op7_token_counts
 from tagsim.llm.token_files import op4_token_files
 from tagsim.llm.url_filter import OP6_SQL, op6_url_filter
@@ -20,7 +21,8 @@ QUERIES = {
     "op5_pack": op5_pack,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
