@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, stored
+from tagsim.llm.common import documents, row_key, stored
 from tagsim.llm.components import components
 
 SHINGLE = 3
@@ -45,14 +45,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), for each row of docs."""
+    """doc_id, row_key, fp (the 64 bits as a signed long), for each row of docs."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "row_key", "fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(of, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(of, "doc_id long, row_key long, fp long")
 
 
 def _counts(fp: Column, half: int) -> Column:
@@ -106,20 +106,28 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long), component_id, kept, for each row of docs.
+    """doc_id, row_key, fp (signed long), component_id, kept, for each row of docs.
 
     Words are those between ASCII white space; shingles of `size` words count as often as they occur; a text with fewer words is one
     shingle and a text without words, or null, has fingerprint 0, which links like any other. Rows with one fingerprint are handled as
     one. component_id is the least doc_id that links reach; rows with a null id link too, but name a component only if it has no other
-    id (then it is null). kept: doc_id = component_id. Rows that repeat stay and share all values. An empty table gives an empty
-    table. Other columns of docs aren't read."""
+    id (then it is null). kept: the row, or rows that repeat it, with the component's least (doc_id, row_key), null last. Rows that
+    repeat stay and share all values. An empty table gives an empty table. Other columns of docs aren't read."""
     own = stored(fingerprints(docs, id_col, text_col, size), "simhash_fingerprints")
-    groups = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    groups = stored(own.groupBy("fp").agg(F.min(place).alias("least")), "simhash_groups")
     parts = components(near_links(groups.select("fp"), max_bits), "simhash_components")
     labelled = groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "part").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    least = labelled.groupBy("part").agg(F.min("least").alias("first"))
+    named = labelled.join(least, "part").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("kept_key"))
+    return own.join(named, "fp").select("doc_id", "row_key", "fp", "component_id", (F.col("row_key") == F.col("kept_key")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: its least doc_id; rows that repeat it go too."""
+    key = "__simhash_key"
+    kept = simhash_groups(docs, max_bits, id_col, text_col).filter("kept").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(kept, key).dropDuplicates([key]).select(*docs.columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:
