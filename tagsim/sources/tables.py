@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CASES = T.StructType.fromDDL("case_id LONG, title STRING, industry STRING, problem STRING, action STRING, result STRING, tags ARRAY<STRING>")
-QUERIES = T.StructType.fromDDL("query_id LONG, text STRING")
-RULES = T.StructType.fromDDL("tag STRING, pos INT, keyword STRING")
+#: Declared schemas.
+CASES = "case_id LONG, title STRING, industry STRING, problem STRING, action STRING, result STRING, tags ARRAY<STRING>"
+QUERIES = "query_id LONG, text STRING"
+RULES = "tag STRING, pos INT, keyword STRING"
 
 
 def read_cases(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
