@@ -27,9 +27,13 @@ MIN_COSINE = 0.9
 BLOCK = 4096
 #: Pivots at most: the sample from which cells are made, whatever the input's size.
 MAX_PIVOTS = 256
-#: Radii of the levels inside a block.
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
+#: Radii of the levels inside a block. The widest nodes are compared in matrix products anyway; wider ones would hold a few unrelated
+#: vectors each, which no bound could tell from the rest.
+RADII = (0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625)
 SLACK = 1e-4
+#: Rows of a matrix product, and pairs of nodes, that are held at once.
+TILE = 256
+PAIRS = 1 << 15
 
 
 class Tree:
@@ -37,18 +41,15 @@ class Tree:
     row centre[k], its children are the nodes first[k] to last[k] (none for a leaf). Nodes 0 to n_top are the widest."""
 
     def __init__(self, x: np.ndarray):
-        gram = x.astype(np.float32) @ x.astype(np.float32).T
+        self._x, self._short = x, x.astype(np.float32)
         self.order: list[int] = []
         self.nodes: list[list] = []  # start, end, centre, radius, first, last
-        groups = self._net(gram, np.arange(len(x)), 0)
+        groups = self._net(np.arange(len(x)), 0)
         self.n_top = len(groups)
-        todo = []
-        for rows in groups:
-            todo.append((len(self.nodes), rows, 0))
-            self.nodes.append([0, 0, int(rows[0]), 0.0, 0, 0])
+        self.nodes += [[0, 0, int(g[0]), 0.0, 0, 0] for g in groups]
         # depth first, so that a node's rows stay together
-        for k, rows, level in todo:
-            self._place(x, gram, k, rows, level)
+        for k, rows in enumerate(groups):
+            self._place(k, rows, 0)
         self.order_array = np.array(self.order, dtype=np.int64)
         place = np.empty(len(x), dtype=np.int64)
         place[self.order_array] = np.arange(len(x))
@@ -56,38 +57,51 @@ class Tree:
         self.start, self.end, self.first, self.last = (table[:, c].astype(np.int64) for c in (0, 1, 4, 5))
         self.centre, self.radius = place[table[:, 2].astype(np.int64)], table[:, 3]
 
-    @staticmethod
-    def _net(gram: np.ndarray, rows: np.ndarray, level: int) -> list[np.ndarray]:
-        """Greedy net of the level's radius over rows: groups, each with its centre first."""
-        bound, free, out = 1 - RADII[level] ** 2 / 2, np.ones(len(rows), dtype=bool), []
-        sub = gram if len(rows) == len(gram) else gram[np.ix_(rows, rows)]
-        close = sub >= bound
-        for i in range(len(rows)):
-            if free[i]:
-                own = close[i] & free
-                own[i] = False
-                free &= ~close[i]
-                free[i] = False
-                out.append(np.concatenate([rows[i : i + 1], rows[own]]))
+    def _net(self, rows: np.ndarray, level: int) -> list[np.ndarray]:
+        """Greedy net of the level's radius over rows: groups, each with its centre first. Only TILE rows of products are held."""
+        bound, free, out = np.float32(1 - RADII[level] ** 2 / 2), np.ones(len(rows), dtype=bool), []
+        own = self._short[rows]
+        for low in range(0, len(rows), TILE):
+            left = np.flatnonzero(free[low : low + TILE]) + low
+            close = own[left] @ own.T >= bound
+            for i, near in zip(left.tolist(), close, strict=True):
+                if free[i]:
+                    near &= free
+                    near[i] = False
+                    free &= ~near
+                    free[i] = False
+                    out.append(np.concatenate([rows[i : i + 1], rows[near]]))
         return out
 
-    def _place(self, x: np.ndarray, gram: np.ndarray, k: int, rows: np.ndarray, level: int) -> None:
+    def _place(self, k: int, rows: np.ndarray, level: int) -> None:
         node = self.nodes[k]
         node[0] = len(self.order)
         if len(rows) > 1:
-            node[3] = float(np.linalg.norm(x[rows] - x[rows[0]], axis=1).max())
+            node[3] = float(np.linalg.norm(self._x[rows] - self._x[rows[0]], axis=1).max())
         if len(rows) == 1 or level + 1 == len(RADII):
             self.order += rows.tolist()
         else:
-            groups = self._net(gram, rows, level + 1)
+            groups = self._net(rows, level + 1)
             node[4] = len(self.nodes)
             node[5] = node[4] + len(groups)
             self.nodes += [[0, 0, int(g[0]), 0.0, 0, 0] for g in groups]
             for j, g in enumerate(groups):
-                self._place(x, gram, node[4] + j, g, level + 1)
+                self._place(node[4] + j, g, level + 1)
         node[1] = len(self.order)
 
 
+def _top_pairs(tx: Tree, ty: Tree, x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the trees' widest nodes that may hold a link, from matrix products of TILE rows."""
+    top_x, top_y = x[tx.centre[: tx.n_top]].astype(np.float32), y[ty.centre[: ty.n_top]].astype(np.float32)
+    wide = (ty.radius[: ty.n_top] + (reach + SLACK)).astype(np.float32)
+    found = []
+    for low in range(0, len(top_x), TILE):
+        far = tx.radius[low : min(low + TILE, tx.n_top), None].astype(np.float32) + wide
+        a, b = np.nonzero(top_x[low : low + TILE] @ top_y.T >= np.float32(1 - SLACK) - far * far / 2)
+        found.append((a + low, b))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, value) of all values first[i] <= value < last[i]."""
     n = last - first
@@ -119,18 +133,12 @@ def dual_traversal(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, we
     reach = np.sqrt(2 - 2 * min_cosine)
     links = []
 
-    # the widest nodes of both trees meet in one matrix product
-    top_x, top_y = x[tx.centre[: tx.n_top]].astype(np.float32), y[ty.centre[: ty.n_top]].astype(np.float32)
-    cosine = top_x @ top_y.T
-    far = tx.radius[: tx.n_top, None].astype(np.float32) + (ty.radius[None, : ty.n_top] + (reach + SLACK)).astype(np.float32)
-    far *= far
-    far /= -2
-    far += 1 - SLACK
-    a, b = np.nonzero(cosine >= far)
-    del cosine, far
+    a, b = _top_pairs(tx, ty, x, y, reach)
     if same:
         a, b = a[a <= b], b[a <= b]
-    while len(a):
+    todo = [(a[s : s + PAIRS], b[s : s + PAIRS]) for s in range(0, len(a), PAIRS)]
+    while todo:
+        a, b = todo.pop()
         d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x[tx.centre[a]], y[ty.centre[b]])))
         both = tx.radius[a] + ty.radius[b]
         near = d <= both + reach + SLACK
@@ -161,8 +169,8 @@ def dual_traversal(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, we
                 p, q = p[p != q], q[p != q]
                 twin = np.repeat(la == lb, (tx.end[la] - tx.start[la]) * (ty.end[lb] - ty.start[lb]) - np.where(la == lb, tx.end[la] - tx.start[la], 0))
                 p, q = p[~twin | (p < q)], q[~twin | (p < q)]
-            for s in range(0, len(p), 1 << 20):
-                u, v = p[s : s + (1 << 20)], q[s : s + (1 << 20)]
+            for s in range(0, len(p), PAIRS):
+                u, v = p[s : s + PAIRS], q[s : s + PAIRS]
                 ru, rv = raw_x[u], raw_y[v]
                 cos = np.einsum("ij,ij->i", ru, rv) / (np.sqrt(np.einsum("ij,ij->i", ru, ru)) * np.sqrt(np.einsum("ij,ij->i", rv, rv)))
                 u, v = u[cos >= min_cosine], v[cos >= min_cosine]
@@ -182,7 +190,7 @@ def dual_traversal(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, we
         if same:  # a node met itself: its children's pairs come twice
             k = np.repeat(itself, (ea - fa) * (eb - fb))
             na, nb = na[~k | (na <= nb)], nb[~k | (na <= nb)]
-        a, b = na, nb
+        todo += [(na[s : s + PAIRS], nb[s : s + PAIRS]) for s in range(0, len(na), PAIRS)]
     out_x, out_y = np.empty(len(x), dtype=np.int64), np.empty(len(y), dtype=np.int64)
     total = gain_x if not same else gain_x + gain_y  # rows of y are rows of x there
     out_x[ox], out_y[oy] = np.cumsum(total)[:-1], np.cumsum(gain_y)[:-1]
