@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, stored
+from tagsim.llm.common import bounded_batches, documents, stored
 from tagsim.llm.tokens import encode_bytes
 
 MAX_TOKENS = 2048
@@ -223,6 +223,7 @@ def cut_lengths(total: int, capacity: int = MAX_TOKENS) -> list[int]:
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = MAX_TOKENS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (binary, 32-bit; only with_ids), for each piece of each row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, row_key, stored
+from tagsim.llm.common import bounded_batches, documents, row_key, stored
 from tagsim.llm.tokens import count_tokens, tokenizer
 
 LIMIT = 2048
@@ -112,6 +112,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, huge: int = HUG
     """doc_id, n_bytes (of UTF-8), n_tokens, over_limit, for each row of docs. A null text is empty; a null id stays. Rows that repeat
     are counted each. An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     sized = F.octet_length("text").cast("long").alias("n_bytes")
     kind = dict(own.dtypes)["doc_id"]
 

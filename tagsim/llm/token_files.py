@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, shared_path, stored
+from tagsim.llm.common import bounded_batches, documents, shared_path, stored
 from tagsim.llm.tokens import encode_bytes
 
 MAGIC = b"TSIDS001"
@@ -160,6 +160,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     name of its own and renamed when whole; a task that runs again after a lost executor makes the same bytes. An empty table writes
     no shard. Other columns aren't read. A document's ids are held whole by one task."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     n_tasks = max(1, -(-own.count() // TASK_DOCS))
     ranged = own.repartitionByRange(n_tasks, F.col("doc_id").asc_nulls_first()).withColumn("task", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     end, base = struct.pack("<I", end_id), _plain_uri(folder)
