@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, stored
+from tagsim.llm.common import bounded_batches, documents, stored
 
 #: Words of a window; words of an anchor.
 WINDOW = 20
@@ -96,8 +96,22 @@ def edges(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, window: int
     return np.concatenate(all_at), np.concatenate(all_h), np.concatenate(all_h2)
 
 
+def _first_of(keys: np.ndarray) -> np.ndarray:
+    """1 where a key stands for the first time, else 0."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    out[np.unique(keys, return_index=True)[1]] = 1
+    return out
+
+
+def _source(name: str = "source") -> list:
+    """The least (doc, at) of a group. Each document has one odd `at` in it, its least; so both parts are numbers that a hash aggregate
+    updates in place, where a struct would need a sort."""
+    return [F.min("doc").alias(f"{name}_doc"), F.min_by("at", F.when(F.col("at") % 2 == 1, F.col("doc"))).alias(f"{name}_at")]
+
+
 def document_paths(docs: DataFrame) -> DataFrame:
-    """docs: doc, text. anchor, words (hash), doc, at (first window * 16 + windows - 1; a path has at most 15)."""
+    """docs: doc, text. anchor, words (hash), doc, at: (first window * 16 + windows - 1) * 2, odd if it is the document's first path of
+    that anchor. A path has at most 15 windows."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(parts: list) -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -108,12 +122,12 @@ def document_paths(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
                 if len(words) >= WINDOW:
-                    for anchor, first, count, same in paths(word_hashes(words)):
-                        parts.append((anchor.view(np.int64), same.view(np.int64), np.full(len(first), doc), first * 16 + count - 1))
-                        rows += len(first)
-                        if rows > 200_000:
-                            yield batch_of(parts)
-                            parts, rows = [], 0
+                    anchor, first, count, same = (np.concatenate(c) for c in zip(*paths(word_hashes(words)), strict=True))
+                    parts.append((anchor.view(np.int64), same.view(np.int64), np.full(len(first), doc), (first * 16 + count - 1) * 2 + _first_of(anchor)))
+                    rows += len(first)
+                    if rows > 200_000:
+                        yield batch_of(parts)
+                        parts, rows = [], 0
             if parts:
                 yield batch_of(parts)
 
@@ -121,13 +135,16 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def document_edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: doc, ats (array, as in document_paths). h, h2, doc, at (the window) of their windows."""
+    """wanted: doc, ats (array, as in document_paths). h, h2, doc, at (the window * 2, odd if it is the document's first of its hashes) of
+    their windows."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, ats in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("ats"), strict=True):
                 own = ats.values.to_numpy()
-                at, h, h2 = edges(word_hashes(words_of(text.as_py())), own >> 4, (own & 15) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.int64).astype(np.int32, casting="unsafe")), pa.array(np.full(len(at), doc)), pa.array(at)], names=["h", "h2", "doc", "at"])
+                at, h, h2 = edges(word_hashes(words_of(text.as_py())), own >> 5, (own >> 1 & 15) + 1)
+                h2 >>= np.uint64(32)
+                at = at * 2 + _first_of(h + h2 * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["h", "h2", "doc", "at"])
 
     return docs.join(wanted, "doc").select("doc", "text", "ats").mapInArrow(of, "h long, h2 int, doc long, at long")
 
@@ -155,19 +172,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = document_paths(docs)
     # the first occurrence, how many there are, and whether they all read the same words: sums that are combined before the shuffle
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), F.min(F.struct("doc", "at")).alias("source")).filter("n > 1")
-    anchors = anchors.select("anchor", F.when(F.col("low") == F.col("high"), F.col("source")).alias("source"))
-    repeated = found.drop("words").join(anchors, "anchor").filter("source IS NULL OR source.doc != doc OR source.at != at")
-    repeated = stored(repeated.select("doc", "at", F.col("source.doc").alias("source_doc"), F.col("source.at").alias("source_at")), "substring_paths")
+    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), *_source()).filter("n > 1")
+    anchors = anchors.select("anchor", *[F.when(F.col("low") == F.col("high"), F.col(c)).alias(c) for c in ("source_doc", "source_at")])
+    repeated = found.drop("words").join(anchors, "anchor").filter("source_doc IS NULL OR source_doc != doc OR source_at != at")
+    repeated = stored(repeated.select("doc", "at", "source_doc", "source_at"), "substring_paths")
     _free(spark)
     parted = repeated.filter("source_doc IS NULL").groupBy("doc").agg(F.collect_list("at").alias("ats"))
     single = stored(document_edges(docs, parted), "substring_edges")
     _free(spark)
-    firsts = single.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("source")).filter("n > 1").drop("n")
-    later = single.join(firsts, ["h", "h2"]).filter("source.doc != doc OR source.at != at")
+    firsts = single.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), *_source()).filter("n > 1").drop("n")
+    later = single.join(firsts, ["h", "h2"]).filter("source_doc != doc OR source_at != at")
     kind = "array<struct<first: long, count: long, source_doc: long, source: long>>"
-    whole = repeated.filter("source_doc IS NOT NULL").selectExpr("doc", "at div 16 AS first", "at % 16 + 1 AS count", "source_doc", "source_at div 16 AS source")
-    lone = later.selectExpr("doc", "at AS first", "1L AS count", "source.doc AS source_doc", "source.at AS source")
+    whole = repeated.filter("source_doc IS NOT NULL").selectExpr("doc", "at div 32 AS first", "at div 2 % 16 + 1 AS count", "source_doc", "source_at div 32 AS source")
+    lone = later.selectExpr("doc", "at div 2 AS first", "1L AS count", "source_doc", "source_at div 2 AS source")
     # a document's spans are bounded by its own length
     listed = whole.unionByName(lone).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "count", "source_doc", "source"))).alias("spans"))
 
@@ -225,6 +242,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words that holds it also starts earlier: in a document of smaller id (null is the smallest), of equal id and smaller text, or
     earlier in the document. Rows that repeat are one document and get the same result. An empty table gives an empty table. Other
     columns of docs aren't read."""
+    bounded_batches(docs.sparkSession)
     own = numbered(docs, id_col, text_col)
     spans = repeated_spans(own)
     if verify and (wrong := verified(own, spans)):
