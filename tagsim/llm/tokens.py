@@ -12,12 +12,14 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Plain characters: those on which Python's classes \w, \d and \s agree with the vocabularies' \p{L}, \p{N} and \s, and that neither
-#: normalisation nor lower-casing joins with their neighbours. Space, tab, line feed and return; printable ASCII; Latin letters with
-#: marks; some punctuation. Special tokens hold |, so a text with <| is not plain.
-NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-įĲ-ž–—‘’“”…]|<\\|")
-#: The byte-level pattern in Python's classes; the same pieces as the vocabulary's own pattern on plain texts.
-PIECE = re.compile(r"'(?:[st]|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Latin letters with and without marks; all are letters (\p{L}) and none changes its neighbours when lower-cased.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
+#: Plain characters: space, tab, line feed and return; printable ASCII; these letters; some punctuation. Neither normalisation nor
+#: lower-casing joins any with its neighbours. Special tokens hold |, so a text with <| is not plain.
+NOT_PLAIN = re.compile(f"[^\t\n\r\x20-\x7e¡«»¿–—‘’“”…{LETTERS}]|<\\|")
+#: The pieces that the byte-level vocabulary's own pattern cuts plain texts into. What stands first is most common; no two of the first
+#: four can begin alike but for the space.
+PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:[st]|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 #: Pieces that a worker keeps at most; then it starts anew. About 170 MB.
 MAX_KEPT = 800_000
 #: Characters of texts encoded at once.
