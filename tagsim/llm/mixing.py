@@ -175,7 +175,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int
     found = source_table(own, weights, block, share)
     table = spark.createDataFrame([(s["source_no"], s["source"], s["source_size"], s["target"]) for s in found], "source_no int, source string, source_size long, target double")
     plan = mix_plan(spark, found, seed, per_shard)
-    uses = plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("n"))
+    # as a table, its size is known: the planner takes what grows out of spark.range() for tiny, and would broadcast it
+    uses = stored(plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("n")), "mix_uses")
     return placed_documents(own, table), plan, uses
 
 
