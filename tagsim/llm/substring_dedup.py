@@ -174,6 +174,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # the first occurrence, how many there are, and whether they all read the same words: sums that are combined before the shuffle
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), *_source()).filter("n > 1")
     anchors = anchors.select("anchor", *[F.when(F.col("low") == F.col("high"), F.col(c)).alias(c) for c in ("source_doc", "source_at")])
+    # as a table: only a join of two plain exchanges is split where a key is hot, not one with an aggregate on its way
+    anchors = stored(anchors, "substring_anchors")
+    _free(spark)
     repeated = found.drop("words").join(anchors, "anchor").filter("source_doc IS NULL OR source_doc != doc OR source_at != at")
     repeated = stored(repeated.select("doc", "at", "source_doc", "source_at"), "substring_paths")
     _free(spark)
@@ -181,6 +184,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = stored(document_edges(docs, parted), "substring_edges")
     _free(spark)
     firsts = single.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), *_source()).filter("n > 1").drop("n")
+    firsts = stored(firsts, "substring_firsts")
+    _free(spark)
     later = single.join(firsts, ["h", "h2"]).filter("source_doc != doc OR source_at != at")
     kind = "array<struct<first: long, count: long, source_doc: long, source: long>>"
     whole = repeated.filter("source_doc IS NOT NULL").selectExpr("doc", "at div 32 AS first", "at div 2 % 16 + 1 AS count", "source_doc", "source_at div 32 AS source")
@@ -220,7 +225,9 @@ def verified(docs: DataFrame, spans: DataFrame) -> int:
     told = stored(docs.join(listed, "doc").select("doc", "text", "ends").mapInArrow(digest, "doc long, first long, count long, digest binary"), "substring_digests")
     _free(docs.sparkSession)
     source = told.select(F.col("doc").alias("source_doc"), F.col("first").alias("source"), "count", F.col("digest").alias("expected"))
-    return each.join(told, ["doc", "first", "count"]).join(source, ["source_doc", "source", "count"]).filter(F.col("digest") != F.col("expected")).count()
+    wrong = each.join(told, ["doc", "first", "count"]).join(source, ["source_doc", "source", "count"]).filter(F.col("digest") != F.col("expected")).count()
+    _free(docs.sparkSession)
+    return wrong
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
