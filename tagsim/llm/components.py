@@ -11,8 +11,8 @@ from tagsim.llm.common import stored
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours under its least neighbour (itself included)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    # the side of `least` has each node once, so a node with many links can be split
+    # as a table: only a join of two plain exchanges is split where a node has many links, not one with an aggregate on its way
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least_neighbours")
     return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 

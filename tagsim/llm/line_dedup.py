@@ -33,7 +33,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Fal
     the same bitmap. An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
-    hot = repeated_keys(distinct_keys(own, ["doc_id"], min_chars=min_chars), min_docs)
+    # as a table, its size is known, and a join with it can be split where a key is hot
+    hot = stored(repeated_keys(distinct_keys(own, ["doc_id"], min_chars=min_chars), min_docs), "hot_keys")
     lines = placed_keys(own, ["doc_id", "row_key"], min_chars=min_chars).join(hot, ["h1", "h2"])
     if keep_first:
         # a hot key's lines in its first document are few, so the first place is a plain minimum over them

@@ -49,7 +49,7 @@ def text_counts(text: Column) -> dict[str, Column]:
 
 
 def host_limits(own: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """own: host, content. (host, limit): a host's hosts of different texts, and from them the most documents that may hold a line."""
+    """own: host, content. (host, limit): the most documents that may hold a line, from the host's number of different texts."""
     counted = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
     return counted.select("host", F.greatest(F.lit(max_docs).cast("double"), F.col("n_texts") * max_share).alias("limit"))
 
@@ -74,7 +74,8 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"))
     own = own.withColumns({"row_key": row_key(F.col("doc_id"), F.col("text"), F.col("host")), "content": row_key(F.col("text"))})
-    hot = frequent_lines(own, max_docs, max_share)
+    # as a table, its size is known, and a join with it can be split where a line is hot
+    hot = stored(frequent_lines(own, max_docs, max_share), "frequent_lines")
     placed = own.select("row_key", "host", F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.struct(line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")))).alias("pos", "line"))
     placed = placed.filter(F.length("line.key") > 0).select("row_key", "host", "pos", F.col("line.n").alias("n"), *key_hashes(F.col("line.key")))
     lost = placed.join(hot.drop("n_docs"), ["host", "h1", "h2"]).select("row_key", "pos", "n").distinct()

@@ -93,13 +93,15 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     spread = F.xxhash64("fp")
     lived = F.when(F.col("home"), F.col("fp"))
     pivots = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(lived).alias("p0"), F.max(lived).alias("p1"), F.min_by(lived, F.when(F.col("home"), spread)).alias("p2"), F.max_by(lived, F.when(F.col("home"), spread)).alias("p3"))
-    pivots = pivots.filter((F.col("n") > 1) & F.col("p0").isNotNull())
+    # as tables, here and below, so that a join on cell can be split where a cell is hot
+    pivots = stored(pivots.filter((F.col("n") > 1) & F.col("p0").isNotNull()), "simhash_pivots")
     first = members.select("fp", "cell").join(pivots, "cell").select("fp", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("p"))
     first = stored(first.filter(near("fp", "p")).select(F.greatest("fp", "p").alias("a"), F.least("fp", "p").alias("b")).distinct(), "simhash_pivot_links")
     grouped = components(first, "simhash_components")
     labelled = stored(fps.join(grouped, fps["fp"] == grouped["node"], "left").select("fp", F.coalesce("component", "fp").alias("part")), "simhash_parts")
     members = _cells(labelled, "part")
     mixed = members.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("home").alias("lived")).filter("low < high AND lived").select("cell")
+    mixed = stored(mixed, "simhash_mixed_cells")
     left = members.join(mixed, "cell").select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
     right = members.filter("home").join(mixed, "cell").select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b"))
     rest = left.join(right, "cell").filter((F.col("part_a") != F.col("part_b")) & near("a", "b")).select("a", "b")
