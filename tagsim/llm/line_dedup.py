@@ -24,17 +24,27 @@ def repeated_keys(rows: DataFrame, min_docs: int) -> DataFrame:
     return ranged.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped_keys(own: DataFrame, groups: DataFrame, min_chars: int) -> DataFrame:
+    """own: doc_id, row_key, text; groups: row_key, group_key. One row for each key of each group, with the group's least doc_id that has it."""
+    # only keys are joined, not texts; rows that repeat share a row_key and are one row of groups
+    keys = distinct_keys(own, ["doc_id", "row_key"], min_chars=min_chars).join(groups.select("row_key", "group_key").dropDuplicates(["row_key"]), "row_key")
+    return keys.groupBy("h1", "h2", "group_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h1", "h2")
+
+
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """doc_id, row_key, n_lines, n_dropped, keep (bitmap; null if all lines stay), for each row of docs.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of min_docs documents (rows of docs)
-    or more lose all their lines; with keep_first, the first line in order of (doc_id, position) stays. Keys under min_chars
+    or more lose all their lines; with keep_first, the first line in order of (doc_id, position) stays. With groups (row_key,
+    group_key of every row of docs), rows of one group count as one document, so that a group of copies does not turn its own lines
+    into boilerplate; lines of frequent keys go in all rows. Keys under min_chars
     code points stay. A null text is one empty line. A null id sorts first. Rows that repeat are documents of their own and get
     the same bitmap. An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
     # as a table, its size is known, and a join with it can be split where a key is hot
-    hot = stored(repeated_keys(distinct_keys(own, ["doc_id"], min_chars=min_chars), min_docs), "hot_keys")
+    keys = distinct_keys(own, ["doc_id"], min_chars=min_chars) if groups is None else grouped_keys(own, groups, min_chars)
+    hot = stored(repeated_keys(keys, min_docs), "hot_keys")
     lines = placed_keys(own, ["doc_id", "row_key"], min_chars=min_chars).join(hot, ["h1", "h2"])
     if keep_first:
         # a hot key's lines in its first document are few, so the first place is a plain minimum over them

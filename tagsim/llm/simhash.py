@@ -109,12 +109,12 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, row_key, fp (signed long), component_id, kept, for each row of docs.
+    """doc_id, row_key, fp (signed long), component_id, group_key, kept, for each row of docs.
 
     Words are those between ASCII white space; shingles of `size` words count as often as they occur; a text with fewer words is one
     shingle and a text without words, or null, has fingerprint 0, which links like any other. Rows with one fingerprint are handled as
     one. component_id is the least doc_id that links reach; rows with a null id link too, but name a component only if it has no other
-    id (then it is null). kept: the row, or rows that repeat it, with the component's least (doc_id, row_key), null last. Rows that
+    id (then it is null). group_key: one for each component, never null, the kept row's row_key. kept: the row, or rows that repeat it, with the component's least (doc_id, row_key), null last. Rows that
     repeat stay and share all values. An empty table gives an empty table. Other columns of docs aren't read."""
     own = stored(fingerprints(docs, id_col, text_col, size), "simhash_fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
@@ -122,8 +122,8 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc
     parts = components(near_links(groups.select("fp"), max_bits), "simhash_components")
     labelled = groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     least = labelled.groupBy("part").agg(F.min("least").alias("first"))
-    named = labelled.join(least, "part").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("kept_key"))
-    return own.join(named, "fp").select("doc_id", "row_key", "fp", "component_id", (F.col("row_key") == F.col("kept_key")).alias("kept"))
+    named = labelled.join(least, "part").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("group_key"))
+    return own.join(named, "fp").select("doc_id", "row_key", "fp", "component_id", "group_key", (F.col("row_key") == F.col("group_key")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,6 +54,21 @@ def test_line_stage_drops_frequent_lines(steps):
     assert {r["doc_id"]: r["text"] for r in steps[2]} == expected and len(steps[2]) == len(steps[1])
 
 
+def test_one_full_text_of_a_large_group_of_copies_stays(spark):
+    text = "\n".join(" ".join(f"line{k}word{i}" for i in range(60)) for k in range(8))
+    near = "\n".join(" ".join(f"near{k}word{i}" for i in range(60)) for k in range(12))
+    data = [(i, text) for i in range(12)] + [(100 + i, f"{near} {i}") for i in range(12)]
+    # a line of ten different documents goes, in copies as elsewhere
+    data += [(200 + i, " ".join(f"own{i}word{k}" for k in range(60)) + "\nall rights reserved") for i in range(10)] + [(300 + i, text + "\nall rights reserved") for i in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = stored(corpus_pipeline.line_stage(spark, docs, SMALL), "test_copies")
+    assert not any("rights" in r["text"] for r in lines.collect())
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copy_stage(spark, lines, SMALL).collect()}
+    assert [i for i, t in kept.items() if t == text] == [0]
+    assert {i: t for i, t in kept.items() if 100 <= i < 200} == {100: f"{near} 0"}
+    assert len(kept) == 12
+
+
 def test_near_copy_stage_keeps_one_of_each_group(steps):
     fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in steps[2]}
     group = grouped(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
