@@ -48,34 +48,47 @@ def text_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def grouped_contents(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """groups: row_key (of id and text), group_key. content, group_key, one row for each different text."""
+    named = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), row_key(F.col(text_col)).alias("content")).distinct()
+    # near copies are found by their texts, so all rows of a text are in one group
+    return named.join(groups.select("row_key", "group_key").distinct(), "row_key").select("content", "group_key").distinct()
+
+
 def host_limits(own: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     """own: host, content. (host, limit): the most documents that may hold a line, from the host's number of different texts."""
     counted = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
     return counted.select("host", F.greatest(F.lit(max_docs).cast("double"), F.col("n_texts") * max_share).alias("limit"))
 
 
-def frequent_lines(own: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """own: host, content, text. (host, h1, h2) of lines that are in more different texts of the host than its limit.
+def frequent_lines(own: DataFrame, max_docs: int, max_share: float, contents: DataFrame | None = None) -> DataFrame:
+    """own: host, content, text. (host, h1, h2) of lines that are in more different texts of the host than its limit. With contents
+    (content, group_key), texts of one group are one text here and in the limit.
 
     Copies of one text count once, so a page that was fetched often does not turn its own lines into boilerplate."""
     seen = distinct_keys(own, ["host", "content"]).distinct()
+    if contents is not None:
+        seen = seen.join(contents, "content").select("host", F.col("group_key").alias("content"), "h1", "h2").distinct()
+        own = own.select("host", "content").distinct().join(contents, "content").select("host", F.col("group_key").alias("content"))
     # no line of at most max_docs documents can pass, so few rows meet the limits
     counts = seen.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
     return counts.join(host_limits(own, max_docs, max_share), "host").filter(F.col("n_docs") > F.col("limit")).select("host", "h1", "h2", "n_docs")
 
 
-def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", groups: DataFrame | None = None) -> DataFrame:
     """doc_id, row_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left (words outside lines above
     the limit), kept, drops (bitmap of those lines; null if none), for each row of docs.
 
     Lines are compared without ASCII white space at their ends, A-Z in lower case, within a host; a null host is a host. A document
     is depleted if it lost words to such lines and has fewer than 10, or less than min_left of its words, left. Null and empty
-    texts have no words and fail the base rules. Rows that repeat get the same verdict. An empty table gives an empty table. Other
+    texts have no words and fail the base rules. With groups (row_key of id and text, group_key, of every row of docs), texts of one
+    group count as one toward the limits; with a small max_docs, a group of near copies would else lose its own lines. Rows that repeat get the same verdict. An empty table gives an empty table. Other
     columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"))
     own = own.withColumns({"row_key": row_key(F.col("doc_id"), F.col("text"), F.col("host")), "content": row_key(F.col("text"))})
     # as a table, its size is known, and a join with it can be split where a line is hot
-    hot = stored(frequent_lines(own, max_docs, max_share), "frequent_lines")
+    contents = None if groups is None else stored(grouped_contents(docs, groups, id_col, text_col), "content_groups")
+    hot = stored(frequent_lines(own, max_docs, max_share, contents), "frequent_lines")
     placed = own.select("row_key", "host", F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.struct(line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")))).alias("pos", "line"))
     placed = placed.filter(F.length("line.key") > 0).select("row_key", "host", "pos", F.col("line.n").alias("n"), *key_hashes(F.col("line.key")))
     lost = placed.join(hot.drop("n_docs"), ["host", "h1", "h2"]).select("row_key", "pos", "n").distinct()

@@ -25,6 +25,20 @@ def test_query_matches_its_sql(spark, name):
     assert rows(got) == rows(expected)
 
 
+def test_registered_quality_query_removes_lines_and_rejects_depleted_documents(spark, tmp_path):
+    body = lambda i, n: " ".join(f"own{i}word{k}" for k in range(n))
+    footer = " ".join(f"footer{k}" for k in range(12))
+    data = [(i, f"{body(i, 20)}\n{footer}", "a") for i in range(202)] + [(300, f"{body(300, 8)}\n{footer}", "a"), (301, f"{body(301, 20)}\n{footer}", "b")]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = queries.ORACLES["op3_quality_rules"]
+    expected = __import__("duckdb").connect().execute(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'),{sql.strip().removeprefix('WITH')}").fetch_df()
+    got = queries.QUERIES["op3_quality_rules"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(expected)
+    by = got.set_index("doc_id")
+    assert (by["n_frequent_lines"] == 1).sum() == 203 and by["n_frequent_lines"][301] == 0
+    assert not by["kept"][300] and not by["base_failed"][300] and by["kept"].sum() == 203
+
+
 def test_line_dedup_modes_and_odd_rows(spark):
     texts = [(1, "Same\nown 1\n same "), (2, "SAME\t\nown 2"), (3, "other\n\nother"), (4, None), (5, ""), (None, "same"), (2, "SAME\t\nown 2"), (6, "\n" * 300 + "same\n" * 70 + "end")]
     docs = spark.createDataFrame([(*t, "key", 1.0) for t in texts], "doc_id long, text string, keep string, h1 double")

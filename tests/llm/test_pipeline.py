@@ -42,6 +42,20 @@ def test_quality_stage_keeps_what_the_base_rules_keep(steps):
     assert sorted(steps[1]) == sorted(r for r in steps[0] if not failed(r["text"]))
 
 
+def test_quality_stage_drops_the_lines_of_small_hosts(spark):
+    def own(i: int, n: int) -> str:
+        return " ".join(f"own{i}word{k}" for k in range(n))
+
+    footer = " ".join(f"footer{k}" for k in range(12))
+    near = "\n".join(" ".join(f"near{k}word{i}" for i in range(60)) for k in range(12))
+    data = [(i, f"{own(i, 60)}\n{footer}", "small") for i in range(11)] + [(20, f"{own(20, 8)}\n{footer}", "small"), (30, f"{own(30, 60)}\n{footer}", "other")]
+    data += [(100 + i, f"{near} {i}", "small") for i in range(15)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_stage(spark, docs, SMALL).collect()}
+    # 20 is depleted; near copies count as one text and keep their lines
+    assert got == {i: own(i, 60) for i in range(11)} | {i: t for i, t, _ in data if i >= 30}
+
+
 def test_line_stage_drops_frequent_lines(steps):
     def key(line: str) -> str:
         return line.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
