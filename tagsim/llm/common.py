@@ -14,14 +14,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Texts in an Arrow batch.
-TEXT_ROWS = 1000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (a local session, as in tests) a temporary folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on
+    a cluster, where each machine would write its own, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,19 +35,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read again: cuts the lineage and outlives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def emptied(*tables: DataFrame) -> None:
+    """Removes the rows of tables made by stored() that nothing will read again: each is overwritten by an empty one."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(table.stored_path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in Arrow batches of at most TEXT_ROWS rows, for this session from now on: 10,000 texts, Spark's default,
-    can be more than a worker holds. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -73,5 +73,19 @@ def count_words(text: Column) -> Column:
 
 
 def row_key(*cols: Column) -> Column:
-    """A key of a row's values that tells null from every value. Rows that repeat share a key, and also all that is worked out from them."""
-    return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
+    """A key of a row's values that tells null from every value: 128 bits, as a struct (a, b). Rows that repeat share a key, and also all
+    that is worked out from them."""
+    parts = [x for c in cols for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+#: Its type.
+ROW_KEY = "struct<a: long, b: long>"
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

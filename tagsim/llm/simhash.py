@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import bounded_batches, documents, row_key, stored
+from tagsim.llm.common import ROW_KEY, documents, row_key, stored
 from tagsim.llm.components import components
 
 SHINGLE = 3
@@ -51,9 +51,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "row_key", "fp"])
 
-    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(of, "doc_id long, row_key long, fp long")
+    return own.mapInArrow(of, f"doc_id long, row_key {ROW_KEY}, fp long")
 
 
 def _counts(fp: Column, half: int) -> Column:
