@@ -8,8 +8,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tagsim.llm import cover_tree
 from tagsim.llm.components import components
-from tagsim.llm.cover_tree import Tree, dual_traversal, near_vectors
+from tagsim.llm.common import stored
+from tagsim.llm.cover_tree import Block, Groups, Tree, dual_traversal, near_vectors, vector_links
 from tagsim.llm.simhash import drop_near_copies, fingerprint, hex_fingerprint, near_links, simhash_groups
 from tests.helpers import SMALL
 
@@ -52,26 +54,37 @@ def test_dual_traversal_counts_and_joins_as_all_pairs_do(seed, n, m):
     w = np.random.default_rng(seed).integers(1, 4, n + m)
     near = (x @ x.T) >= 0.9
     np.fill_diagonal(near, False)
-    got, _, links = dual_traversal(x, None, w, w, raw, raw, 0.9)
-    assert got.tolist() == (near * w).sum(axis=1).tolist()
-    assert grouped(range(n + m), links.tolist()) == grouped(range(n + m), np.argwhere(near).tolist())
-    a, b, cross = dual_traversal(x[:n], x[n:], w[:n], w[n:], raw[:n], raw[n:], 0.9)
-    assert a.tolist() == (near[:n, n:] * w[n:]).sum(axis=1).tolist() and b.tolist() == (near[:n, n:].T * w[:n]).sum(axis=1).tolist()
-    assert all(near[i, n + j] for i, j in cross.tolist())
+    whole = Block(raw, w)
+    order, groups = whole.tree.order, Groups(n + m)
+    assert Block.unpacked(whole.packed()).raw.tolist() == raw[order].tolist()
+    got, _ = dual_traversal(Block.unpacked(whole.packed()), None, groups, 0.9)
+    assert got.tolist() == (near * w).sum(axis=1)[order].tolist()
+    assert same_groups({k: v for k, v in enumerate(groups.name)}, grouped(range(n + m), np.argwhere(near[np.ix_(order, order)]).tolist()))
+    one, two, groups = Block(raw[:n], w[:n]), Block(raw[n:], w[n:]), Groups(n + m)
+    a, b = dual_traversal(one, two, groups, 0.9)
+    cross, across, down = near[:n, n:][np.ix_(one.tree.order, two.tree.order)], w[n:][two.tree.order], w[:n][one.tree.order]
+    assert a.tolist() == (cross * across).sum(axis=1).tolist() and b.tolist() == (cross.T * down).sum(axis=1).tolist()
+    assert same_groups({k: v for k, v in enumerate(groups.name)}, grouped(range(n + m), [(i, n + j) for i, j in np.argwhere(cross).tolist()]))
+
+
+def same_groups(a: dict, b: dict) -> bool:
+    """Whether two namings tell the same groups."""
+    return len({(a[k], b[k]) for k in a}) == len(set(a.values())) == len(set(b.values()))
 
 
 def test_tree_covers():
     x = cloud(5, 300)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    t = Tree(x)
-    rows = x[t.order_array]
-    assert sorted(t.order_array.tolist()) == list(range(300))
+    t = Tree.of(x)
+    rows = x[t.order]
+    assert sorted(t.order.tolist()) == list(range(300))
     for k in range(len(t.start)):
         assert np.linalg.norm(rows[t.start[k] : t.end[k]] - rows[t.centre[k]], axis=1).max() <= t.radius[k] + 1e-9
 
 
 @pytest.mark.parametrize("block", [7, 4096])
-def test_near_vectors(spark, block):
+def test_near_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(cover_tree, "SMALL_BLOCK", block)
     x = cloud(11, 90)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, x[0].tolist()), (201, (x[0] * 3).tolist()), (202, [0.0] * 8), (203, None), (204, [float("nan")] * 8), (205, [None] * 8), (206, []), (207, [1.0]), (208, [2.0]), (209, [1e200] * 8), (210, [1e-200] * 8), (211, [float("inf")] + [0.0] * 7)]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], "vec_id long, embedding array<double>, n_links string, uid int")
@@ -88,6 +101,30 @@ def test_near_vectors(spark, block):
     assert all(r["kept"] == (i == expected[i]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [256, 4096])
+def test_vectors_of_64_dimensions_and_few_link_rows(spark, monkeypatch, block):
+    """2000 vectors at a cosine of about 0.95 to each other, and groups of others, against all pairs."""
+    monkeypatch.setattr(cover_tree, "SMALL_BLOCK", block)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre + rng.normal(size=(2000, 64)) * 0.23, np.repeat(rng.normal(size=(30, 64)), 5, axis=0) + rng.normal(size=(150, 64)) * 0.3, rng.normal(size=(300, 64))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T) >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 2_000_000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(df, block=block).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
+    forest = []  # enough of the links to join what all join
+    for i in range(len(x)):
+        forest += [(i, int(j)) for j in np.flatnonzero(near[i])[:1]] + [(i, int(j)) for j in np.flatnonzero(near[i]) if i >= 2000]
+    first = np.flatnonzero(near[0])
+    forest += [(0, int(j)) for j in first] + [(i, int(np.flatnonzero(near[i] & near[0])[0])) for i in range(2000) if (near[i] & near[0]).any()]
+    assert {i: r["component_id"] for i, r in got.items()} == grouped(range(len(x)), forest)
+    links = vector_links(stored(df.selectExpr("vec_id AS uid", "1L AS weight", "embedding AS vec"), "test_vectors"), block=block)
+    assert links.filter("other IS NOT NULL").count() < len(x) and links.count() < 12 * len(x)
+
+
 def test_near_vectors_with_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.001]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(df).collect()), key=repr)
