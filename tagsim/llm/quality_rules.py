@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import SPACE, count_words, documents, let, row_key, split_words, stored
+from tagsim.llm.common import SPACE, count_words, documents, let, row_key, spare_name, split_words, stored
 from tagsim.llm.lines import distinct_keys, drop_bitmaps, kept_text, key_hashes, line_key, n_dropped, split_lines
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host's line is above the limit in more documents of different text than this many, and than this share of the host's.
-MAX_DOCS = 200
-MAX_SHARE = 0.01
+#: A host's line is above the limit in more than this share of the host's documents and of its different texts, and in this many
+#: different texts at least: a line of fewer isn't shared.
+MAX_SHARE = 0.02
+MIN_TEXTS = 3
 #: A document is depleted with less than this share of its words left.
 MIN_LEFT = 0.5
 
@@ -49,46 +50,45 @@ def text_counts(text: Column) -> dict[str, Column]:
 
 
 def grouped_contents(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """groups: row_key (of id and text), group_key. content, group_key, one row for each different text."""
+    """groups: doc_id, row_key (of id and text), group_key. content, group_key, one row for each different text."""
     named = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), row_key(F.col(text_col)).alias("content")).distinct()
     # near copies are found by their texts, so all rows of a text are in one group
     return named.join(groups.select("row_key", "group_key").distinct(), "row_key").select("content", "group_key").distinct()
 
 
-def host_limits(own: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """own: host, content. (host, limit): the most documents that may hold a line, from the host's number of different texts."""
-    counted = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    return counted.select("host", F.greatest(F.lit(max_docs).cast("double"), F.col("n_texts") * max_share).alias("limit"))
+def counted(rows: DataFrame, by: list[str], contents: DataFrame | None) -> DataFrame:
+    """rows: by, content. by, n_docs (rows), n_texts (different texts; those of one group of contents count as one)."""
+    texts = rows.groupBy(*by, "content").agg(F.count(F.lit(1)).alias("n"))
+    if contents is not None:
+        texts = texts.join(contents, "content").groupBy(*by, "group_key").agg(F.sum("n").alias("n"))
+    return texts.groupBy(*by).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
 
 
-def frequent_lines(own: DataFrame, max_docs: int, max_share: float, contents: DataFrame | None = None) -> DataFrame:
-    """own: host, content, text. (host, h1, h2) of lines that are in more different texts of the host than its limit. With contents
-    (content, group_key), texts of one group are one text here and in the limit.
+def frequent_lines(own: DataFrame, max_share: float, min_texts: int, contents: DataFrame | None = None) -> DataFrame:
+    """own: host, content, text. (host, h1, h2, n_docs) of lines that are in more documents of their host than its limit.
 
-    Copies of one text count once, so a page that was fetched often does not turn its own lines into boilerplate."""
-    seen = distinct_keys(own, ["host", "content"]).distinct()
-    if contents is not None:
-        seen = seen.join(contents, "content").select("host", F.col("group_key").alias("content"), "h1", "h2").distinct()
-        own = own.select("host", "content").distinct().join(contents, "content").select("host", F.col("group_key").alias("content"))
-    # no line of at most max_docs documents can pass, so few rows meet the limits
-    counts = seen.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
-    return counts.join(host_limits(own, max_docs, max_share), "host").filter(F.col("n_docs") > F.col("limit")).select("host", "h1", "h2", "n_docs")
+    Documents are counted, and so are their different texts, and both have to pass: one text that was fetched often does not turn its
+    own lines into boilerplate. With contents (content, group_key), texts of one group are one text."""
+    lines = counted(distinct_keys(own, ["host", "content"]), ["host", "h1", "h2"], contents).filter(F.col("n_texts") >= min_texts)
+    hosts = counted(own.select("host", "content"), ["host"], contents).select("host", (F.col("n_docs") * max_share).alias("most_docs"), (F.col("n_texts") * max_share).alias("most_texts"))
+    return lines.join(hosts, "host").filter((F.col("n_docs") > F.col("most_docs")) & (F.col("n_texts") > F.col("most_texts"))).select("host", "h1", "h2", "n_docs")
 
 
-def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", groups: DataFrame | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS, min_left: float = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", groups: DataFrame | None = None) -> DataFrame:
     """doc_id, row_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left (words outside lines above
     the limit), kept, drops (bitmap of those lines; null if none), for each row of docs.
 
-    Lines are compared without ASCII white space at their ends, A-Z in lower case, within a host; a null host is a host. A document
-    is depleted if it lost words to such lines and has fewer than 10, or less than min_left of its words, left. Null and empty
-    texts have no words and fail the base rules. With groups (row_key of id and text, group_key, of every row of docs), texts of one
-    group count as one toward the limits; with a small max_docs, a group of near copies would else lose its own lines. Rows that repeat get the same verdict. An empty table gives an empty table. Other
-    columns of docs aren't read."""
+    Lines are compared without ASCII white space at their ends, A-Z in lower case, within a host; a null host is a host. A line is
+    above the limit in more than max_share of its host's documents, and of its different texts, of which there are min_texts at
+    least. A document is depleted if it lost words to such lines and has fewer than 10, or less than min_left of its words, left.
+    Null and empty texts have no words and fail the base rules. With groups (row_key of id and text, group_key, of every row of
+    docs), texts of one group count as one text. Rows that repeat count as documents each and get the same verdict; a null id stays.
+    An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"))
     own = own.withColumns({"row_key": row_key(F.col("doc_id"), F.col("text"), F.col("host")), "content": row_key(F.col("text"))})
     # as a table, its size is known, and a join with it can be split where a line is hot
     contents = None if groups is None else stored(grouped_contents(docs, groups, id_col, text_col), "content_groups")
-    hot = stored(frequent_lines(own, max_docs, max_share, contents), "frequent_lines")
+    hot = stored(frequent_lines(own, max_share, min_texts, contents), "frequent_lines")
     placed = own.select("row_key", "host", F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.struct(line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")))).alias("pos", "line"))
     placed = placed.filter(F.length("line.key") > 0).select("row_key", "host", "pos", F.col("line.n").alias("n"), *key_hashes(F.col("line.key")))
     lost = placed.join(hot.drop("n_docs"), ["host", "h1", "h2"]).select("row_key", "pos", "n").distinct()
@@ -102,12 +102,15 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
 
 
 def apply_rules(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with the columns of docs, their text without the lines above the limits."""
-    key = "__quality_key"
-    kept = rules.filter("kept").select(F.col("row_key").alias(key), F.col("drops").alias("__drops")).dropDuplicates([key])
+    """The documents that the rules keep, with the columns of docs, their text without the lines above the limits.
+
+    Rows are found again by a key of id, text and host, nulls included, so rows that repeat are kept or dropped together. A null text
+    is never kept (no words). Columns of docs may have any names. An empty table gives an empty table."""
+    key, drops = spare_name(docs, "key"), spare_name(docs, "drops")
+    kept = rules.filter("kept").select(F.col("row_key").alias(key), F.col("drops").alias(drops)).dropDuplicates([key])
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
     joined = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col), host)).join(kept, key)
-    return joined.withColumn(text_col, F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col("__drops")))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(drops).isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col(drops)))).select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +129,10 @@ k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
   FROM l),
-hosts AS (SELECT host, greatest(200.0, count(DISTINCT t) * 0.01::DOUBLE) AS most FROM d GROUP BY host),
+hosts AS (SELECT host, count(*) * 0.02::DOUBLE AS most_docs, count(DISTINCT t) * 0.02::DOUBLE AS most_texts FROM d GROUP BY host),
 hot AS (
-  SELECT c.host, c.key FROM (SELECT host, key, count(DISTINCT t) AS n_docs FROM k WHERE key <> '' GROUP BY host, key) c
-  JOIN hosts USING (host) WHERE n_docs > most),
+  SELECT c.host, c.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n_docs, count(DISTINCT t) AS n_texts FROM k WHERE key <> '' GROUP BY host, key) c
+  JOIN hosts USING (host) WHERE n_docs > most_docs AND n_texts > most_texts AND n_texts >= 3),
 f AS (
   SELECT k.doc_id, coalesce(sum(n) FILTER (WHERE hot.key IS NOT NULL), 0) AS lost, count(hot.key) AS n_frequent_lines,
     (count(*) FILTER (WHERE n > 0)) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines
