@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import count_words, documents, row_key, split_words, stored
+from tagsim.llm.common import count_words, documents, row_key, spare_name, split_words, stored
 
 #: Weights of the sources in order of code points, repeating; most uses of a source's words.
 WEIGHTS = (5, 2, 1)
@@ -22,8 +22,6 @@ SHARD = 4096
 BUCKETS = 4096
 #: A mixture names its sources, so there are few. More than this many is an error, not a sample.
 MAX_SOURCES = 100_000
-#: Numpy draws exactly from fewer colours than this; above it a split is proportional, off by less than a block.
-EXACT = 10**9
 
 
 def source_targets(sizes: list[int], weights=WEIGHTS, share: float = 1.0, most: float = MAX_USES) -> list[float]:
@@ -57,26 +55,16 @@ def _mixed(*parts: int) -> int:
     return x >> 1
 
 
-def _draw(colours: np.ndarray, n: int, seed: int) -> np.ndarray:
-    total = int(colours.sum())
-    if total < EXACT:
-        return np.random.default_rng(seed).multivariate_hypergeometric(colours, n, method="marginals")
-    exact = [int(c) * n / total for c in colours.tolist()]
-    out = np.array([int(x) for x in exact], dtype=np.int64)
-    rest = np.argsort([int(x) - x for x in exact], kind="stable")[: n - int(out.sum())]
-    out[rest] += 1
-    return out
-
-
-def shard_counts(slots: np.ndarray, shard: int, n_shards: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_counts(slots: np.ndarray, shard: int, n_shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's count of slots by source, and how many slots each source has in the shards before it.
 
-    Multinomial counts given the sources' sums: the range of shards is halved again and again, and each half's counts are drawn
-    from the whole's by a seed of its own. So any shard's counts take log2(n_shards) draws, on any machine, and sum up exactly."""
+    Every slot falls to any shard alike, so a source's counts over the shards are multinomial: the range of shards is halved again and
+    again, and each source's slots in the left half are a binomial draw, by a seed of the range. Any shard's counts take
+    log2(n_shards) draws, on any machine, at any size, and sum up exactly."""
     low, high, own, before = 0, n_shards, slots.astype(np.int64), np.zeros(len(slots), dtype=np.int64)
     while high - low > 1:
         mid = (low + high) // 2
-        left = _draw(own, min((mid - low) * per_shard, int(own.sum())), _mixed(seed, low, high))
+        left = np.random.default_rng(_mixed(seed, low, high)).binomial(own, (mid - low) / (high - low))
         if shard < mid:
             own, high = left, mid
         else:
@@ -122,7 +110,8 @@ def source_table(sized: DataFrame, weights=WEIGHTS, block: int = BLOCK, share: f
 
 
 def mix_plan(spark: SparkSession, sources: list[dict], seed: int = 0, per_shard: int = SHARD) -> DataFrame:
-    """shard, slot, source_no, block: the block of each slot of each output shard. Made in parallel by shard; reruns agree."""
+    """shard, slot, source_no, block, epoch: the block of each slot of each output shard, of which there are per_shard on average. Made in
+    parallel by shard; reruns agree."""
     slots = np.array([s["n_slots"] for s in sources], dtype=np.int64)
     blocks = [s["n_blocks"] for s in sources]
     n_shards = max(1, -(-int(slots.sum()) // per_shard))
@@ -130,7 +119,7 @@ def mix_plan(spark: SparkSession, sources: list[dict], seed: int = 0, per_shard:
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"].tolist():
-                count, before = shard_counts(slots, shard, n_shards, per_shard, seed)
+                count, before = shard_counts(slots, shard, n_shards, seed)
                 parts, at = [], 0
                 for s in np.flatnonzero(count).tolist():
                     turn = np.arange(before[s], before[s] + count[s])
@@ -153,13 +142,24 @@ def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
     The order within a source is (bucket, doc_id, row_key), bucket being a hash of the row; a source of any size is spread over the
     buckets, whose sums are added up by source first."""
     own = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    own = own.withColumn("bucket", F.pmod(F.col("row_key"), F.lit(BUCKETS)).cast("int"))
+    own = own.withColumn("bucket", F.pmod(F.col("row_key.a"), F.lit(BUCKETS)).cast("int"))
     sums = own.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.select("source_no", "bucket", (F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).alias("bucket_begin"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "row_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "row_key", *[c for c in own.columns if c == "turn"]).rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("within", F.sum("size").over(inside) - F.col("size")).join(starts, ["source_no", "bucket"]).withColumn("begin", F.col("bucket_begin") + F.col("within")).drop("bucket_begin", "within", "bucket")
 
 
+def mix_sizes(own: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int = 0, share: float = 1.0, per_shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own: doc_id, source, row_key, size and others, as a table that reads the same each time. As mix_sources."""
+    spark = own.sparkSession
+    found = source_table(own, weights, block, share)
+    table = spark.createDataFrame([(s["source_no"], s["source"], s["source_size"], s["target"]) for s in found], "source_no int, source string, source_size long, target double")
+    plan = mix_plan(spark, found, seed, per_shard)
+    # as a table, its size is known: the planner takes what grows out of spark.range() for tiny, and would broadcast it
+    uses = stored(plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("n")), "mix_uses")
+    return placed_documents(own, table), plan, uses
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int = 0, share: float = 1.0, per_shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, plan, uses).
 
@@ -169,15 +169,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int
 
     A null text has no words and a source without words has a target of 0; a null source is a source, the last. Rows that repeat
     are documents of their own. An empty table gives empty tables. Other columns of docs aren't read."""
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), row_key(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_key"), count_words(F.col(text_col)).alias("size"))
-    own = stored(own, "mix_sizes")
-    found = source_table(own, weights, block, share)
-    table = spark.createDataFrame([(s["source_no"], s["source"], s["source_size"], s["target"]) for s in found], "source_no int, source string, source_size long, target double")
-    plan = mix_plan(spark, found, seed, per_shard)
-    # as a table, its size is known: the planner takes what grows out of spark.range() for tiny, and would broadcast it
-    uses = stored(plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("n")), "mix_uses")
-    return placed_documents(own, table), plan, uses
+    return mix_sizes(stored(own, "mix_sizes"), weights, block, seed, share, per_shard)
 
 
 def document_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -190,21 +183,29 @@ def document_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The mixture as documents, with the columns of docs: round r of a document (r from 1 to MAX_USES) holds its words in blocks that
-    are used r times or more, joined by a space; a text whose words are all taken stays as it is. Rounds without words are left out."""
-    placed, _, uses = mix_sources(docs, seed=seed, block=block, id_col=id_col, text_col=text_col, source_col=source_col)
-    spans = document_blocks(placed, block).join(uses, ["source_no", "block"])
+    are used r times or more, joined by a space; a text whose words are all taken stays as it is. Rounds without words are left out,
+    and so are null and empty texts.
+
+    Rows are told apart by all their columns, also those of other names, of any names; only rows that are equal in all of them are
+    dealt their places by number, whichever of them is which. An empty table gives an empty table."""
+    key, turn, spans, rank, picked, copies = (spare_name(docs, f"mix_{x}") for x in ("key", "turn", "spans", "round", "picked", "copies"))
+    # a map or a variant can be neither hashed nor grouped by
+    plain = [F.to_json(F.struct(c)) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in docs.dtypes]
+    keyed = docs.withColumn(key, row_key(*plain))
+    # equal rows are one row with their number, which a hot row's partial counts bring together before the shuffle
+    numbers = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.first(id_col).alias("id"), F.first(F.col(source_col).cast("string")).alias("source"), F.first(count_words(F.col(text_col))).alias("size")), "mix_rows")
+    rows = numbers.select(F.col(key).alias("row_key"), F.col("id").alias("doc_id"), "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("turn"))
+    placed, _, uses = mix_sizes(rows, seed=seed, block=block)
+    cut = document_blocks(placed, block).join(uses, ["source_no", "block"])
     # a document's spans are bounded by its own length
-    taken = spans.groupBy("row_key", "doc_id", "begin").agg(F.sort_array(F.collect_list(F.struct("first", "length", "n"))).alias("spans"))
-    key, rank = "__mix_key", "__mix_rank"
-    # rows that repeat have one key; they are told apart by their rank, whichever of them is which
-    ranks = taken.withColumn(rank, F.row_number().over(Window.partitionBy("row_key").orderBy("begin"))).select(F.col("row_key").alias(key), rank, "spans")
-    own = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col), F.col(source_col)))
-    own = own.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
-    rounds = own.join(ranks, [key, rank]).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(MAX_USES))))
-    rounds = rounds.withColumn("__picked", F.filter("spans", lambda s: s["n"] >= F.col("__round"))).filter(F.size("__picked") > 0)
-    words = F.aggregate("__picked", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    taken = cut.groupBy("row_key", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "length", "n"))).alias(spans))
+    # equal rows have equal texts: one of each is joined, with the list of its copies' spans cut into rows
+    once = keyed.dropDuplicates([key]).join(taken.select(F.col("row_key").alias(key), F.col("turn").alias(turn), spans), key)
+    rounds = once.withColumn(rank, F.explode(F.sequence(F.lit(1), F.lit(MAX_USES))))
+    rounds = rounds.withColumn(picked, F.filter(spans, lambda s: s["n"] >= F.col(rank))).filter(F.size(picked) > 0)
+    words = F.aggregate(picked, F.lit(0).cast("long"), lambda a, s: a + s["length"])
     whole = words == count_words(F.col(text_col))
-    text = F.transform(F.array(split_words(F.col(text_col))), lambda w: F.array_join(F.flatten(F.transform("__picked", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["length"].cast("int")))), " "))[0]
+    text = F.transform(F.array(split_words(F.col(text_col))), lambda w: F.array_join(F.flatten(F.transform(picked, lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["length"].cast("int")))), " "))[0]
     out = rounds.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(text))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col]))
