@@ -39,6 +39,11 @@ def test_registered_quality_query_removes_lines_and_rejects_depleted_documents(s
     assert not by["kept"][300] and not by["base_failed"][300] and by["kept"].sum() == 203
 
 
+def test_quality_query_removes_lines_and_rejects_depleted_documents_on_the_tables(spark):
+    got = queries.QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    assert got["n_frequent_lines"].sum() > 0 and (~got["kept"] & ~got["base_failed"]).sum() > 0
+
+
 def test_line_dedup_modes_and_odd_rows(spark):
     texts = [(1, "Same\nown 1\n same "), (2, "SAME\t\nown 2"), (3, "other\n\nother"), (4, None), (5, ""), (None, "same"), (2, "SAME\t\nown 2"), (6, "\n" * 300 + "same\n" * 70 + "end")]
     docs = spark.createDataFrame([(*t, "key", 1.0) for t in texts], "doc_id long, text string, keep string, h1 double")
@@ -75,7 +80,7 @@ def test_quality_counts_and_lines(spark):
     frequent = [f"menu item\n{body} {i}" for i in range(6)] + [f"menu item\n{i} left {i} over"  + " menu" * 9 for i in range(2)]
     data = [(i, t, "h") for i, t in enumerate(texts)] + [(100 + i, t, "g") for i, t in enumerate(frequent)] + [(200, frequent[0], None), (None, "x", None), (100, frequent[0], "g")]
     docs = spark.createDataFrame([(*d, 5) for d in data], "doc_id long, text string, source string, n_words int")
-    got = quality_rules(docs, max_docs=5, max_share=0.0)
+    got = quality_rules(docs, min_texts=6, max_share=0.0)
     by = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == len(data)
     for i, t, _ in data:
@@ -89,13 +94,13 @@ def test_quality_counts_and_lines(spark):
     assert quality_rules(docs.limit(0)).count() == 0
     # nearly all of its words are in lines above the limit
     thin = docs.limit(0).unionByName(spark.createDataFrame([(i, f"{body}\n{i} a", "g", 0) for i in range(7)], docs.schema))
-    assert {(r["base_failed"], r["kept"]) for r in quality_rules(thin, max_docs=5, max_share=0.0).collect()} == {(False, False)}
+    assert {(r["base_failed"], r["kept"]) for r in quality_rules(thin, min_texts=6, max_share=0.0).collect()} == {(False, False)}
 
 
 def test_copies_of_one_text_are_one_document_to_the_limits(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(i, text, "g") for i in range(20)], "doc_id long, text string, source string")
-    assert quality_rules(docs, max_docs=5, max_share=0.0).filter("kept").count() == 20
+    assert quality_rules(docs, min_texts=6, max_share=0.0).filter("kept").count() == 20
 
 
 def test_urls(spark):
