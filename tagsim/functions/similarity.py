@@ -25,6 +25,11 @@ def mask_cosine(a: Column, b: Column) -> Column:
     return ratio(F.bit_count(a.bitwiseAND(b)), F.bit_count(a), F.bit_count(b))
 
 
+def set_cosine(a: Column, b: Column) -> Column:
+    """Of two tag sets, as arrays without repeats."""
+    return ratio(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+
+
 def overlap_scores(queries: DataFrame, cases: DataFrame, query_key: str = "query_id", case_key: str = "case_id") -> DataFrame:
     """Of tag sets in long form (key, tag; each tag once): query_key, case_key, score of all pairs that share a tag. For any vocabulary.
 

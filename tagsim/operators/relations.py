@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsim.functions.similarity import mask_cosine, match_pct
+from tagsim.functions.similarity import mask_cosine, match_pct, set_cosine
 
 THRESHOLD = 0.35
 
 
 def _pairs(ranked: DataFrame, masks: DataFrame, condition: str) -> DataFrame:
-    """Pairs within a list; a list has at most k cases, so a query has at most k * k pairs."""
+    """Pairs within a list; a list has at most k cases, so a query has at most k * k pairs. A mask is a number, or, of a vocabulary of
+    over 63 tags, the array of a case's tags."""
     own = ranked.select("query_id", "case_id", "rank").join(masks.select("case_id", "mask"), "case_id")
     a, b = own.alias("a"), own.alias("b")
+    alike = mask_cosine if dict(own.dtypes)["mask"] == "bigint" else set_cosine
     joined = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & F.expr(condition))
-    return joined.select(F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank"), mask_cosine(F.col("a.mask"), F.col("b.mask")).alias("sim"))
+    return joined.select(F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank"), alike(F.col("a.mask"), F.col("b.mask")).alias("sim"))
 
 
 def related(ranked: DataFrame, masks: DataFrame, k: int = 3) -> DataFrame:

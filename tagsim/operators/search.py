@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagsim.functions.similarity import mask_cosine, match_pct, overlap_scores
 from tagsim.operators.vocab import MASK_BITS, in_vocab, tag_mask
+from tagsim.sources.tables import written
 
 #: Signature pairs that a nested-loop join may look at, with the smaller side's rows broadcast at most. Beyond it, the join on tags.
 MAX_PAIRS = 200_000_000
@@ -62,16 +63,18 @@ def top_k(scored: DataFrame, k: int = 6, by: str = "query_id") -> DataFrame:
 
 def score(queries: DataFrame, cases: DataFrame, vocab: list[str]) -> DataFrame:
     """queries: query_id, tags; cases: case_id, tags. Scores by signature: q_sig, c_sig, score, n_queries, n_cases."""
-    q = signed(queries, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_queries"))
-    c = signed(cases, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_cases"))
+    # small tables, written once: they are counted, compared and joined below, and the texts behind them are read for none of that
+    q = written(signed(queries, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_queries")), "query_signatures")
+    c = written(signed(cases, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_cases")), "case_signatures")
     found = signature_scores(q, c, vocab)
     return found.join(q.withColumnRenamed("sig", "q_sig"), "q_sig").join(c.withColumnRenamed("sig", "c_sig"), "c_sig")
 
 
 def search(queries: DataFrame, cases: DataFrame, vocab: list[str], k: int = 6) -> DataFrame:
     """queries: query_id, tags; cases: case_id, tags. query_id, case_id, score, rank, pct of each query's k best cases."""
-    q = signed(queries, vocab).filter(_some(vocab)).select("query_id", "sig")
-    kept = smallest_ids(signed(cases, vocab).filter(_some(vocab)), k)
+    # written once: each is counted and joined below
+    q = written(signed(queries, vocab).filter(_some(vocab)).select("query_id", "sig"), "query_signatures")
+    kept = written(smallest_ids(signed(cases, vocab).filter(_some(vocab)), k), "case_signatures")
     found = signature_scores(q.select("sig").distinct(), kept.select("sig").distinct(), vocab)
     scored = found.join(kept.withColumnRenamed("sig", "c_sig"), "c_sig").select("q_sig", "case_id", "score")
     best = top_k(scored, k, "q_sig").withColumnRenamed("q_sig", "sig")
@@ -79,9 +82,21 @@ def search(queries: DataFrame, cases: DataFrame, vocab: list[str], k: int = 6) -
 
 
 def with_details(ranked: DataFrame, cases: DataFrame) -> DataFrame:
-    """ranked with the cases' own fields; texts are joined to the few ranked ids, after the cut."""
+    """ranked with the cases' own fields. Only the texts of ranked cases are joined: their ids, counted, go to every executor as a filter,
+    so the other texts are not shuffled; too many ids for that are joined as they are."""
     fields = [c for c in cases.columns if c != "tags"]
-    return ranked.join(cases.select(*fields), "case_id").withColumn("summary", F.concat_ws("・", "industry", "problem"))
+    ranked = written(ranked, "ranked")
+    ids = ranked.select("case_id").distinct()
+    own = cases.select(*fields)
+    if ids.count() <= MAX_BROADCAST:
+        own = own.join(F.broadcast(ids), "case_id", "left_semi")
+    return ranked.join(own, "case_id").withColumn("summary", F.concat_ws("・", "industry", "problem"))
+
+
+def with_query_tags(ranked: DataFrame, tagged: DataFrame) -> DataFrame:
+    """tagged: query_id, tags. query_id, tags, case_id, score, rank: the tags that were read from a query beside each of its results, and
+    once, with nulls, for a query without results."""
+    return tagged.select("query_id", "tags").join(ranked.select("query_id", "case_id", "score", "rank"), "query_id", "left")
 
 
 def case_detail(ranked: DataFrame, cases: DataFrame, query_id: int, case_id: int) -> DataFrame:

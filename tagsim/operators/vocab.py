@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The vocabulary is made of the tags of a dictionary or a classification: a bounded thing that the driver may hold.
-MAX_VOCABULARY = 100_000
+#: Tags that a mask holds.
 MASK_BITS = 63
 
 
@@ -22,10 +21,8 @@ def build_vocab(cases: DataFrame, id_col: str = "case_id", tags_col: str = "tags
 
 
 def vocab_list(vocab: DataFrame) -> list[str]:
-    rows = vocab.limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} tags")
-    return [r["tag"] for r in sorted(rows, key=lambda r: r["idx"])]
+    """The tags in order. They are those of a dictionary or a classification, so the driver holds them, as it does the dictionary."""
+    return [r["tag"] for r in sorted(vocab.collect(), key=lambda r: r["idx"])]
 
 
 def _array(tags: list[str]) -> Column:

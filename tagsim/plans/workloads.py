@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import functions as F
 
 from tagsim.functions.rules import infer_tags
 from tagsim.operators.relations import graph_edges, graph_nodes, related
-from tagsim.operators.search import search
-from tagsim.operators.vocab import build_vocab, tag_mask, vocab_list
+from tagsim.operators.search import search, signed
+from tagsim.operators.vocab import build_vocab, vocab_list
+from tagsim.sources.tables import written
 
 
 @dataclass
 class Corpus:
-    """A corpus with its tags: `tagged` is (case_id, tags), kept in memory or on disk, as every step reads it and texts are read once."""
+    """A corpus with its tags: `tagged` is (case_id, tags), a table in the shared folder, as every step reads it and texts are read once."""
 
     cases: DataFrame
     tagged: DataFrame
@@ -24,7 +25,7 @@ class Corpus:
     @classmethod
     def of(cls, cases: DataFrame) -> Corpus:
         """cases: with tags."""
-        tagged = cases.select("case_id", "tags").persist(StorageLevel.MEMORY_AND_DISK)
+        tagged = written(cases.select("case_id", "tags"), "tagged_cases")
         return cls(cases, tagged, vocab_list(build_vocab(tagged)))
 
     @classmethod
@@ -33,7 +34,8 @@ class Corpus:
         return cls.of(infer_tags(cases.drop("tags"), rules, text_col))
 
     def masks(self) -> DataFrame:
-        return tag_mask(self.tagged, self.vocab).select("case_id", "mask")
+        """case_id, mask: a number, or, of a vocabulary of over 63 tags, the case's tags in the vocabulary's order."""
+        return signed(self.tagged, self.vocab).select("case_id", F.col("sig").alias("mask"))
 
 
 def ranked_search(queries: DataFrame, corpus: Corpus, rules: DataFrame, k: int = 6) -> DataFrame:

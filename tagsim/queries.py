@@ -12,10 +12,10 @@ from tagsim.operators.corpus import corpus_related, signature_edges
 from tagsim.operators.dense import embedding_top_k
 from tagsim.operators.relations import graph_nodes, pair_edges, related, star_edges
 from tagsim.operators.relations import graph_edges as edges_of
-from tagsim.operators.search import has_results, no_results, score, untagged_queries, with_details
+from tagsim.operators.search import case_detail, has_results, no_results, score, untagged_queries, with_details, with_query_tags
 from tagsim.operators.vocab import build_vocab, multi_hot
-from tagsim.plans.workloads import Corpus, ranked_search
-from tagsim.sources.tables import scratch_path
+from tagsim.plans.workloads import Corpus, ranked_search, relation_graph
+from tagsim.sources.tables import read_cases, read_queries, scratch_path, tag_rules, write_graph, write_ranked
 from tagsim.streaming.stream import rank_stream
 
 
@@ -134,12 +134,82 @@ def q_rank_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def q_large_dictionary(spark, sf_dir):
+    """Tags by a dictionary of over 2000 keywords."""
+    tagged = infer_tags(tables.cases(spark, sf_dir), tag_rules(spark, tables.LARGE), "problem")
+    return tagged.select("case_id", F.size("tags").alias("n_tags"), F.concat_ws(",", "tags").alias("tags"))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Corpus]:
+    rules = tag_rules(spark, tables.WIDE)
+    corpus = Corpus.from_texts(tables.cases(spark, sf_dir), rules)
+    return ranked_search(tables.queries(spark, sf_dir), corpus, rules), corpus
+
+
+def q_wide_search(spark, sf_dir):
+    """The ranked search over a vocabulary of over 63 tags."""
+    return _wide(spark, sf_dir)[0]
+
+
+def q_wide_related(spark, sf_dir):
+    ranked, corpus = _wide(spark, sf_dir)
+    return related(ranked, corpus.masks())
+
+
+def q_wide_edges(spark, sf_dir):
+    ranked, corpus = _wide(spark, sf_dir)
+    return edges_of(ranked, corpus.masks())
+
+
+def q_wide_signature_edges(spark, sf_dir):
+    corpus = _wide(spark, sf_dir)[1]
+    edges = signature_edges(corpus.tagged, corpus.vocab)
+    # which of two sets comes first is told by their tags as text
+    a, b = F.concat_ws(",", "mask_a"), F.concat_ws(",", "mask_b")
+    return edges.select(F.least(a, b).alias("tags_a"), F.greatest(a, b).alias("tags_b"), F.when(a <= b, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(a <= b, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"), "sim")
+
+
+def q_case_detail(spark, sf_dir):
+    """The best case of the first query that has one."""
+    ranked, corpus = _ranked(spark, sf_dir)
+    picked = ranked.filter("rank = 1").orderBy("query_id").select("query_id", "case_id").first()
+    detail = case_detail(ranked, corpus.cases, *(picked or (-1, -1)))
+    return detail.select("query_id", "case_id", "score", "rank", "pct", "title", "industry", "problem", "action", "result", "summary")
+
+
+def q_query_tags(spark, sf_dir):
+    tagged = _tagged_queries(spark, sf_dir)
+    return with_query_tags(_ranked(spark, sf_dir)[0], tagged).withColumn("tags", F.concat_ws(",", "tags"))
+
+
+def q_roundtrip(spark, sf_dir):
+    """Cases, queries and rules are written and read by the library's readers; the ranking and its graph are written and read back."""
+    path, rules = scratch_path(spark, "roundtrip"), tables.rules(spark)
+    tagged = infer_tags(tables.cases(spark, sf_dir), rules, "problem")
+    tagged.write.parquet(f"{path}/cases")
+    tables.queries(spark, sf_dir).write.parquet(f"{path}/queries")
+    rules.write.parquet(f"{path}/rules")
+    corpus, read_rules = Corpus.of(read_cases(spark, f"{path}/cases")), tag_rules(spark, spark.read.parquet(f"{path}/rules"))
+    queries = read_queries(spark, f"{path}/queries")
+    write_ranked(ranked_search(queries, corpus, read_rules), f"{path}/ranked")
+    write_graph(*relation_graph(queries, corpus, read_rules), f"{path}/graph")
+    ranked, nodes, edges = (spark.read.parquet(f"{path}/{x}") for x in ("ranked", "graph/nodes", "graph/edges"))
+    rows = ranked.select("query_id", F.lit("ranked").alias("kind"), F.lit(None).cast("long").alias("src"), F.col("case_id").alias("dst"), F.col("score").alias("weight"))
+    rows = rows.unionByName(nodes.select("query_id", F.lit("node").alias("kind"), F.lit(None).cast("long").alias("src"), F.col("case_id").alias("dst"), F.col("score").alias("weight")))
+    return rows.unionByName(edges)
+
+
 QUERIES = {name[2:]: query for name, query in list(globals().items()) if name.startswith("q_")}
 
-_RULES = ", ".join(f"({pos}, '{tag}', '{k}')" for pos, (tag, keywords) in enumerate(tables.RULES.items()) for k in keywords)
+_COLUMNS = "query_id, kind, src, dst, weight"
+
+
+def _values(rules: dict) -> str:
+    return ", ".join(f"({pos}, '{tag}', '{k}')" for pos, (tag, keywords) in enumerate(rules.items()) for k in keywords)
+
 
 _TAGS = f"""
-WITH rules(pos, tag, keyword) AS (VALUES {_RULES}),
+WITH rules(pos, tag, keyword) AS (VALUES {_values(tables.RULES)}),
 ct AS (SELECT DISTINCT d.doc_id AS case_id, r.tag, r.pos FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)),
 seen AS (
   SELECT tag, min(p) AS p FROM (
@@ -148,7 +218,7 @@ vocab AS (SELECT tag, (row_number() OVER (ORDER BY p) - 1)::INT AS idx FROM seen
 q AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
 qa AS (SELECT DISTINCT q.query_id, r.tag, r.pos FROM q JOIN rules r ON contains(lower(coalesce(q.text, '')), r.keyword)),
 qt AS (SELECT qa.* FROM qa JOIN vocab USING (tag)),
-cn AS (SELECT case_id, count(*) AS n, string_agg(tag, ',' ORDER BY idx) AS tags, sum(1::BIGINT << idx)::BIGINT AS mask FROM ct JOIN vocab USING (tag) GROUP BY case_id),
+cn AS (SELECT case_id, count(*) AS n, string_agg(tag, ',' ORDER BY idx) AS tags, sum(CASE WHEN idx < 63 THEN 1::BIGINT << idx END)::BIGINT AS mask FROM ct JOIN vocab USING (tag) GROUP BY case_id),
 qn AS (SELECT query_id, count(*) AS n, string_agg(tag, ',' ORDER BY idx) AS tags FROM qt JOIN vocab USING (tag) GROUP BY query_id)
 """
 
@@ -169,6 +239,15 @@ pairs AS (
   JOIN cn x ON x.case_id = a.case_id JOIN cn y ON y.case_id = b.case_id)
 """
 
+_GRAPH = "SELECT query_id, 'star' AS kind, NULL::BIGINT AS src, case_id AS dst, score AS weight FROM ranked UNION ALL SELECT query_id, 'pair', a_id, b_id, sim FROM pairs WHERE a_rank < b_rank AND sim >= 0.35"
+
+
+def _wide_sql(sql: str) -> str:
+    """The same with the wide dictionary; tag sets are compared as lists."""
+    sql = sql.replace(_values(tables.RULES), _values(tables.WIDE))
+    return sql.replace("bit_count(x.mask & y.mask)", "len(list_intersect(string_split(x.tags, ','), string_split(y.tags, ',')))")
+
+
 ORACLES = {
     "infer_tags": _TAGS + "SELECT d.doc_id AS case_id, coalesce(string_agg(ct.tag, ',' ORDER BY ct.pos), '') AS tags FROM documents d LEFT JOIN ct ON ct.case_id = d.doc_id GROUP BY d.doc_id",
     "vocab": _TAGS + "SELECT tag, idx FROM vocab",
@@ -183,10 +262,20 @@ ORACLES = {
     "related_top3": _LISTS + "SELECT query_id, a_id AS case_id, b_id AS related_id, sim, floor(sim * 100 + 0.5)::INT AS sim_pct, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, a_id ORDER BY sim DESC, b_rank) AS pos FROM pairs WHERE sim > 0) WHERE pos <= 3",
     "pair_edges": _LISTS + "SELECT query_id, a_id AS src, b_id AS dst, sim AS weight FROM pairs WHERE a_rank < b_rank AND sim >= 0.35",
     "star_edges": _RANKED + "SELECT query_id, case_id AS dst, score AS weight FROM ranked",
-    "graph_edges": _LISTS + "SELECT query_id, 'star' AS kind, NULL::BIGINT AS src, case_id AS dst, score AS weight FROM ranked UNION ALL SELECT query_id, 'pair', a_id, b_id, sim FROM pairs WHERE a_rank < b_rank AND sim >= 0.35",
+    "graph_edges": _LISTS + _GRAPH,
     "graph_nodes": _RANKED + "SELECT query_id, case_id, CASE WHEN length(t) > 12 THEN substr(t, 1, 11) || '…' ELSE t END AS label, score, rank FROM (SELECT ranked.*, string_split(d.text, chr(10))[1] AS t FROM ranked JOIN documents d ON d.doc_id = case_id)",
     "corpus_related": _TAGS + ", s AS (SELECT a.case_id, b.case_id AS related_id, bit_count(a.mask & b.mask)::DOUBLE / (sqrt(a.n) * sqrt(b.n)) AS sim FROM cn a JOIN cn b ON a.case_id <> b.case_id AND a.mask & b.mask <> 0) SELECT case_id, related_id, sim, pos::INT AS pos, floor(sim * 100 + 0.5)::INT AS sim_pct FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sim DESC, related_id) AS pos FROM s) WHERE pos <= 3",
     "signature_edges": _TAGS + ", g AS (SELECT mask, n, count(*) AS k FROM cn GROUP BY mask, n) SELECT a.mask AS mask_a, b.mask AS mask_b, a.k AS n_a, b.k AS n_b, bit_count(a.mask & b.mask)::DOUBLE / (sqrt(a.n) * sqrt(b.n)) AS sim FROM g a JOIN g b ON a.mask <= b.mask WHERE bit_count(a.mask & b.mask)::DOUBLE / (sqrt(a.n) * sqrt(b.n)) >= 0.35",
     "embedding_top6": "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0) SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 6",
     "rank_stream": _RANKED + "SELECT query_id, case_id, score, rank, pct FROM ranked",
+    "large_dictionary": f"WITH rules(pos, tag, keyword) AS (VALUES {_values(tables.LARGE)}), ct AS (SELECT d.doc_id, r.tag, r.pos FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)) SELECT d.doc_id AS case_id, count(ct.tag)::INT AS n_tags, coalesce(string_agg(ct.tag, ',' ORDER BY ct.pos), '') AS tags FROM documents d LEFT JOIN ct ON ct.doc_id = d.doc_id GROUP BY d.doc_id",
+    "case_detail": _RANKED + "SELECT query_id, case_id, score, rank, pct, string_split(d.text, chr(10))[1] AS title, d.lang AS industry, d.text AS problem, NULL::VARCHAR AS action, NULL::VARCHAR AS result, concat_ws('・', d.lang, d.text) AS summary FROM ranked JOIN documents d ON d.doc_id = case_id WHERE rank = 1 AND query_id = (SELECT min(query_id) FROM ranked)",
+    "query_tags": _RANKED + "SELECT q.query_id, coalesce(t.tags, '') AS tags, case_id, score, rank FROM q LEFT JOIN (SELECT query_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM qa GROUP BY query_id) t ON t.query_id = q.query_id LEFT JOIN ranked ON ranked.query_id = q.query_id",
+    "roundtrip": _LISTS + f"SELECT {_COLUMNS} FROM ({_GRAPH}) UNION ALL SELECT query_id, kind, NULL::BIGINT, case_id, score FROM ranked, (VALUES ('ranked'), ('node')) k(kind)",
+}
+ORACLES |= {
+    "wide_search": _wide_sql(ORACLES["search_top6"]),
+    "wide_related": _wide_sql(ORACLES["related_top3"]),
+    "wide_edges": _wide_sql(ORACLES["graph_edges"]),
+    "wide_signature_edges": _wide_sql(_TAGS + ", g AS (SELECT tags, n, count(*) AS k FROM cn GROUP BY tags, n), e AS (SELECT a.tags AS tags_a, b.tags AS tags_b, a.k AS n_a, b.k AS n_b, len(list_intersect(string_split(a.tags, ','), string_split(b.tags, ',')))::DOUBLE / (sqrt(a.n) * sqrt(b.n)) AS sim FROM g a JOIN g b ON a.tags <= b.tags) SELECT * FROM e WHERE sim >= 0.35"),
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 CASES = "case_id LONG, title STRING, industry STRING, problem STRING, action STRING, result STRING, tags ARRAY<STRING>"
 QUERIES = "query_id LONG, text STRING"
 RULES = "tag STRING, pos INT, keyword STRING"
+RANKED = "query_id LONG, case_id LONG, score DOUBLE, rank INT, pct INT"
 
 
 def read_cases(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -28,11 +29,16 @@ def read_query_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 
 
 def tag_rules(spark: SparkSession, rules: dict[str, list[str]] | DataFrame) -> DataFrame:
-    """tag, pos, keyword, one row for each keyword; pos is the tag's place in the dictionary. From a dictionary, or from a table of
-    (pos, tag, keywords)."""
-    if isinstance(rules, DataFrame):
-        return rules.select("tag", F.col("pos").cast("int").alias("pos"), F.explode("keywords").alias("keyword"))
-    return spark.createDataFrame([(tag, pos, k) for pos, (tag, keywords) in enumerate(rules.items()) for k in keywords], RULES)
+    """tag, pos, keyword, one row for each keyword; pos is the tag's place in the dictionary.
+
+    From a dictionary; from a table of (tag, pos, keyword) or of (tag, pos, keywords); or from a table of one row and one column, a map of
+    tags to keywords, whose order is the dictionary's."""
+    if not isinstance(rules, DataFrame):
+        return spark.createDataFrame([(tag, pos, k) for pos, (tag, keywords) in enumerate(rules.items()) for k in keywords], RULES)
+    if len(rules.columns) == 1:
+        rules = rules.select(F.posexplode(rules.columns[0]).alias("pos", "tag", "keywords"))
+    keyword = F.col("keyword") if "keyword" in rules.columns else F.explode("keywords").alias("keyword")
+    return rules.select("tag", F.col("pos").cast("int").alias("pos"), keyword)
 
 
 def write_ranked(ranked: DataFrame, path: str) -> None:
@@ -44,10 +50,26 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many tasks as a shuffle has, where it is read from fewer files: a small table often is one file that one task reads."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key) if len(df.inputFiles()) < tasks else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary folder only where that is unset."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder; on a cluster, where each machine would write its own, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table in the shared folder: what reads it repeats none of the work behind it, and outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
