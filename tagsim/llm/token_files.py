@@ -1,14 +1,20 @@
 """Token-ID files with a minimal perfect hash index: documents are dealt into ranges of doc_id, each task encodes its range and writes
-shards of raw ids, and any document's ids are found by its key in constant time.
-
-A shard, all integers little-endian:
-
-    bytes 0-7     "TSIDS001"
-    8-55          six u64: documents n, ids, bytes of an id (2 or 4), levels, words of the bit arrays, shard's number of ids before
-    then          for each level: u64 bits m of its bit array, u64 its first word
-    then          the bit arrays (u64 words), then for each word u64 the bits set in all words before it
-    then          for each slot: u32 fingerprint, u32 0, u64 first id, u64 number of ids
-    then          the ids, raw, document after document in ascending order of doc_id
+shards of raw ids; index files map any document's key to its shard and place, in constant time.
+
+A folder holds a small Parquet table `layout` (the number of index files, the end id), shards and index files. All integers are
+little-endian.
+
+    shard-TTTTTTTT-PPPP.ids (task T, part P; in this order the documents ascend by doc_id)
+      bytes 0-7   "TSIDS002"
+      8-31        three u64: documents, ids, bytes of an id (2 or 4)
+      then        the ids, raw, document after document
+    index-BBBBBBBB.mph (the keys that hash to B)
+      bytes 0-7   "TSMPH002"
+      8-31        three u64: keys n, levels, words of the bit arrays
+      then        for each level: u64 bits m of its bit array, u64 its first word
+      then        the bit arrays (u64 words), then for each word u64 the bits set in all words before it
+      then        for each slot: u32 fingerprint, u32 bytes of an id, u64 shard (T * 65536 + P), u64 first id in the shard, u64 number of
+                  ids, u64 number of ids in all documents before, u64 documents of the same doc_id
 
 A key is looked up level by level: at level l it has bit mix(key, l) % m; the first level where that bit is set gives the slot, the
 number of bits set before it. All n slots are used: the hash is minimal and perfect. The slot's stored fingerprint tells strange keys,
@@ -23,20 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, shared_path, stored
+from tagsim.llm.common import documents, emptied, shared_path, stored
 from tagsim.llm.tokens import encode_bytes
 
-MAGIC = b"TSIDS001"
+SHARD_MAGIC, INDEX_MAGIC = b"TSIDS002", b"TSMPH002"
 END_ID = 2
 #: A shard is closed when it holds this many ids.
 SHARD_IDS = 4_000_000
-#: Documents to a task; and the texts that are encoded at once.
+#: Documents to a task; texts that are encoded at once; keys of an index file.
 TASK_DOCS = 8192
 BATCH_DOCS = 512
+INDEX_KEYS = 1 << 16
 LEVEL_BITS = 1.6
+#: Shards whose ids are added up in one task: those of this many write tasks.
+START_TASKS = 1024
 
 
 def _mix(keys: np.ndarray, level: int) -> np.ndarray:
@@ -47,9 +56,11 @@ def _mix(keys: np.ndarray, level: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def keys_of(doc_ids: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each document: its doc_id, and its turn (0, 1, ...) among documents of one id."""
-    return _mix(doc_ids.astype(np.int64).view(np.uint64), 61) ^ (turns.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def keys_of(doc_ids: pa.Array, turns: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each document: its doc_id, null or not, and its turn (0, 1, ...) among documents of one id."""
+    own = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    none = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    return np.where(none, _mix(own, 63), _mix(own, 61)) ^ (turns.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class PerfectHash:
@@ -92,157 +103,232 @@ class PerfectHash:
         return out
 
 
-SLOT = np.dtype([("fingerprint", "<u4"), ("zero", "<u4"), ("first", "<u8"), ("n", "<u8")])
+SLOT = np.dtype([("fingerprint", "<u4"), ("width", "<u4"), *[(c, "<u8") for c in ("shard", "first", "n", "start", "copies")]])
 
 
 def _fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 77) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack_shard(keys: np.ndarray, ids: list[bytes]) -> bytes:
-    """A shard of documents, given the ids of each as 32-bit integers."""
-    lengths = np.array([len(b) // 4 for b in ids], dtype=np.int64)
+def pack_shard(ids: list[bytes]) -> tuple[bytes, int]:
+    """A shard of documents, given the ids of each as 32-bit integers; and the bytes of an id in it."""
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    narrow = not len(flat) or int(flat.max()) < 1 << 16
-    index = PerfectHash.of(keys)
-    table = np.zeros(len(keys), dtype=SLOT)
+    width = 2 if not len(flat) or int(flat.max()) < 1 << 16 else 4
+    return SHARD_MAGIC + struct.pack("<3Q", len(ids), len(flat), width) + flat.astype("<u2" if width == 2 else "<u4").tobytes(), width
+
+
+SHARD_HEAD = 32
+
+
+def pack_index(keys: np.ndarray, columns: dict[str, np.ndarray]) -> bytes:
+    """An index file of keys, with the slots' other fields by name."""
+    index, table = PerfectHash.of(keys), np.zeros(len(keys), dtype=SLOT)
     at = index.slots(keys)
-    table["fingerprint"][at], table["first"][at], table["n"][at] = _fingerprints(keys), np.cumsum(lengths) - lengths, lengths
-    head = MAGIC + struct.pack("<6Q", len(keys), len(flat), 2 if narrow else 4, len(index.sizes), len(index.words), 0)
+    table["fingerprint"][at] = _fingerprints(keys)
+    for name, values in columns.items():
+        table[name][at] = values
+    head = INDEX_MAGIC + struct.pack("<3Q", len(keys), len(index.sizes), len(index.words))
     levels = np.stack([index.sizes, index.starts], axis=1).astype("<u8").tobytes()
-    return b"".join([head, levels, index.words.astype("<u8").tobytes(), index.before.astype("<u8").tobytes(), table.tobytes(), flat.astype("<u2" if narrow else "<u4").tobytes()])
-
-
-class ShardReader:
-    """Keyed access to a shard through anything that reads bytes at an offset."""
-
-    def __init__(self, read_at):
-        self._read = read_at
-        head = read_at(0, 56)
-        if head[:8] != MAGIC:
-            raise ValueError("not a shard")
-        self.n, self.n_ids, self.width, levels, words, _ = struct.unpack("<6Q", head[8:])
-        size = 16 * levels + 16 * words + SLOT.itemsize * self.n
-        body = read_at(56, size)
-        pairs = np.frombuffer(body, "<u8", 2 * levels).reshape(-1, 2)
-        bits = np.frombuffer(body, "<u8", 2 * words, 16 * levels)
-        self._hash = PerfectHash(pairs[:, 0], pairs[:, 1], bits[:words], bits[words:])
-        self._table = np.frombuffer(body, SLOT, self.n, 16 * levels + 16 * words)
-        self._payload = 56 + size
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot entries of keys; those of strange keys have n = 0 and first = 2^64 - 1."""
-        at = self._hash.slots(keys)
-        out = self._table[np.maximum(at, 0)].copy() if self.n else np.zeros(len(keys), dtype=SLOT)
-        strange = (at < 0) | (out["fingerprint"] != _fingerprints(keys))
-        out["first"][strange], out["n"][strange] = 2**64 - 1, 0
-        return out
+    return b"".join([head, levels, index.words.astype("<u8").tobytes(), index.before.astype("<u8").tobytes(), table.tobytes()])
 
-    def ids(self, first: int, n: int) -> np.ndarray:
-        return np.frombuffer(self._read(self._payload + first * self.width, n * self.width), "<u2" if self.width == 2 else "<u4").astype("<u4")
 
+def find(data: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys and an index file: which it has, and the slots of all (of those it lacks, any)."""
+    if data[:8] != INDEX_MAGIC:
+        raise ValueError("not an index file")
+    n, levels, words = struct.unpack("<3Q", data[8:32])
+    pairs = np.frombuffer(data, "<u8", 2 * levels, 32).reshape(-1, 2)
+    bits = np.frombuffer(data, "<u8", 2 * words, 32 + 16 * levels)
+    table = np.frombuffer(data, SLOT, n, 32 + 16 * levels + 16 * words)
+    at = PerfectHash(pairs[:, 0], pairs[:, 1], bits[:words], bits[words:]).slots(keys)
+    out = table[np.maximum(at, 0)] if n else np.zeros(len(keys), dtype=SLOT)
+    return (at >= 0) & (out["fingerprint"] == _fingerprints(keys)), out
 
-def _filesystem(folder: str):
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard >> 16:08d}-{shard & 65535:04d}.ids"
+
+
+def _filesystem(base: str):
+    """base: a whole URI. The file system behind it, and the path in it; s3a and s3n are names of s3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    kind, _, path = base.partition(":")
+    if kind == "file":
+        return fs.LocalFileSystem(), "/" + path.lstrip("/")
+    return fs.FileSystem.from_uri(("s3" if kind in ("s3a", "s3n") else kind) + ":" + path)
+
+
+def _put(files, root: str, name: str, data: bytes) -> None:
+    """Under a name of its own first, renamed when whole: a task that runs again makes the same file."""
+    with files.open_output_stream(trial := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
+        out.write(data)
+    files.move(trial, f"{root}/{name}")
+
+
+def _layout(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """Number of index files; and the folder as the whole URI that Spark takes it for, whatever its default file system is."""
+    table = spark.read.parquet(f"{folder}/layout")
+    return table.first()["n_index"], table.inputFiles()[0].rpartition("/layout/")[0]
 
 
-def _plain_uri(folder: str) -> str:
-    return "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+def _bucket(n_index: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "turn"), F.lit(n_index)).cast("int")
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs into shards under folder (shared by all executors). doc_id, turn, shard, n_tokens, for each row of docs, as a table.
+def _with_turns(written: DataFrame) -> DataFrame:
+    """With turn (0, 1, ... among documents of one id, in their order) and copies (how many they are)."""
+    if written.groupBy(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()).count().filter("count > 1").isEmpty():
+        return written.withColumns({"turn": F.lit(0), "copies": F.lit(1).cast("long")})
+    # a shard's documents of one id are bounded by the shard; over shards only their counts are added up
+    inside = F.row_number().over(Window.partitionBy("doc_id", "shard").orderBy("first")) - 1
+    counts = written.groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("here"))
+    over = Window.partitionBy("doc_id")
+    counts = counts.select("doc_id", "shard", (F.sum("here").over(over.orderBy("shard")) - F.col("here")).alias("before"), F.sum("here").over(over).alias("copies"))
+    own, counts = written.withColumn("inside", inside).alias("w"), counts.alias("c")
+    joined = own.join(counts, F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.shard") == F.col("c.shard")))
+    return joined.select("w.*", (F.col("inside") + F.col("before")).cast("int").alias("turn"), "copies").drop("inside")
 
-    Shards and the documents in them are in ascending order of doc_id, null first (its key is that of the least integer); documents of
-    one id, ordered by text, have turns 0, 1, ... A null text is empty. Every document ends with end_id. A file is written under a
-    name of its own and renamed when whole; a task that runs again after a lost executor makes the same bytes. An empty table writes
-    no shard. Other columns aren't read. A document's ids are held whole by one task."""
+
+def shard_starts(written: DataFrame) -> DataFrame:
+    """shard, shard_start (ids in all shards before it). Sums of many shards are added up first, so no task sees all shards."""
+    sums = stored(written.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("part", F.expr(f"shard div {START_TASKS << 16}")), "shard_sums")
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")
+    return sums.withColumn("inside", inside).join(parts, "part").select("shard", (F.col("part_start") + F.col("inside")).alias("shard_start"))
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes docs into shards and index files under folder, a new one that all executors share.
+
+    Shards and the documents in them are in ascending order of doc_id, null first; documents of one id are ordered by a hash of their
+    text and have turns 0, 1, ... A null text is empty. Every document ends with end_id. Rows that repeat are documents of their own. An
+    empty table writes no shard. Other columns aren't read. A document's ids are held whole by one task. A file is written under a name
+    of its own and renamed when whole; a task that runs again after a lost executor makes the same bytes."""
+    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n_tasks = max(1, -(-own.count() // TASK_DOCS))
-    ranged = own.repartitionByRange(n_tasks, F.col("doc_id").asc_nulls_first()).withColumn("task", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end, base = struct.pack("<I", end_id), _plain_uri(folder)
+    n_docs = own.count()
+    n_index = max(1, -(-n_docs // INDEX_KEYS))
+    spark.createDataFrame([(n_index, end_id)], "n_index int, end_id int").coalesce(1).write.parquet(f"{folder}/layout")
+    base = _layout(spark, folder)[1]
+    # the row's own number lets one id, or one row that repeats, spread over several tasks
+    own = own.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    ranged = own.repartitionByRange(max(1, -(-n_docs // TASK_DOCS)), *order, F.col("row").asc())
+    ranged = ranged.withColumn("task", F.spark_partition_id()).sortWithinPartitions(*order, "text").select("doc_id", "text", "task")
+    end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(base)
-        files.create_dir(root, recursive=True)
         doc_ids: list = []
-        turns: list[int] = []
         ids: list[bytes] = []
-        held, part, last, turn = 0, 0, object(), 0
+        held, part = 0, 0
 
         def close(task: int) -> pa.RecordBatch:
             nonlocal held, part
-            name = f"shard-{task:08d}-{part:04d}.ids"
-            keys = keys_of(np.array([-(2**63) if d is None else d for d in doc_ids], dtype=np.int64), np.array(turns))
-            with files.open_output_stream(trial := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
-                out.write(pack_shard(keys, ids))
-            files.move(trial, f"{root}/{name}")
-            rows = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(turns, pa.int32()), pa.array([name] * len(ids)), pa.array([len(b) // 4 for b in ids], pa.int64())], names=["doc_id", "turn", "shard", "n_tokens"])
-            doc_ids.clear(), turns.clear(), ids.clear()
+            data, width = pack_shard(ids)
+            shard = task << 16 | part
+            _put(files, root, shard_name(shard), data)
+            n = np.array([len(b) // 4 for b in ids], dtype=np.int64)
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(np.full(len(n), shard, dtype=np.int64)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(np.full(len(n), width, dtype=np.int32))]
+            doc_ids.clear(), ids.clear()
             held, part = 0, part + 1
-            return rows
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "first", "n", "width"])
 
         for batch in batches:
+            task = batch.column("task")[0].as_py() if len(batch) else 0
             for s in range(0, len(batch), BATCH_DOCS):
                 some = batch.slice(s, BATCH_DOCS)
-                task = some.column("task")[0].as_py()
                 for doc_id, found in zip(some.column("doc_id").to_pylist(), encode_bytes(some.column("text").to_pylist(), tokenizer_path), strict=True):
-                    turn = turn + 1 if doc_id == last else 0
-                    last = doc_id
-                    doc_ids.append(doc_id), turns.append(turn), ids.append(found + end)
+                    doc_ids.append(doc_id), ids.append(found + end)
                     held += len(found) // 4 + 1
                     if held >= shard_ids:
                         yield close(task)
         if ids:
             yield close(task)
 
-    return stored(ranged.mapInArrow(write, "doc_id long, turn int, shard string, n_tokens long"), "token_file_documents")
-
-
-def shard_starts(written: DataFrame) -> DataFrame:
-    """shard, n_docs, shard_start (ids in all shards before it). One row for each shard, of which there are few."""
-    sums = written.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    return sums.select("shard", "n_docs", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-
-
-def read_token_files(keys: DataFrame, folder: str, starts: DataFrame, with_ids: bool = True) -> DataFrame:
-    """keys: doc_id, turn, shard. doc_id, turn, start, n_tokens, ids_crc32, ids (binary, 32-bit; only with_ids), read from the shards by key.
-
-    The documents asked for are grouped by shard; a shard's index is read once, then each document's ids at their offset."""
-    base = _plain_uri(folder)
-    n_tasks = max(1, min(100_000, starts.count()))
-    wanted = keys.join(starts, "shard").repartition(n_tasks, "shard").sortWithinPartitions("shard", "doc_id", "turn").select("doc_id", "turn", "shard", "shard_start")
-    schema = "doc_id long, turn int, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    written = stored(ranged.mapInArrow(write, "doc_id long, shard long, first long, n long, width int"), "token_file_documents")
+    starts = stored(shard_starts(written), "token_file_starts")
+    placed = _with_turns(written).join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("first")).withColumn("bucket", _bucket(n_index))
+    placed = placed.select("bucket", "doc_id", "turn", "width", "shard", "first", "n", "start", "copies").repartitionById(n_index, "bucket").sortWithinPartitions("bucket", "doc_id", "turn")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # the rows of one index file
+        if sum(len(b) for b in held):
+            files, root = _filesystem(base)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = keys_of(rows.column("doc_id").combine_chunks(), rows.column("turn").to_numpy())
+            data = pack_index(keys, {c: rows.column(c).to_numpy() for c in SLOT.names[1:]})
+            _put(files, root, f"index-{rows.column('bucket')[0].as_py():08d}.mph", data)
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], names=["n"])
+
+    placed.mapInArrow(index, "n long").agg(F.sum("n")).first()
+    emptied(written, starts)
+
+
+def _looked_up(keys: DataFrame, base: str, n_index: int) -> DataFrame:
+    """keys: doc_id, turn. doc_id, turn and the slot's fields, of the keys that the folder has. A task reads the index files of its keys, each
+    once."""
+    dealt = keys.withColumn("bucket", _bucket(n_index)).select("bucket", "doc_id", "turn").repartitionById(n_index, "bucket").sortWithinPartitions("bucket")
+    names = SLOT.names[1:]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = None  # a task has one index file
+        for batch in batches:
+            if len(batch):
+                if data is None:
+                    files, root = _filesystem(base)
+                    path = f"{root}/index-{batch.column('bucket')[0].as_py():08d}.mph"
+                    if not files.get_file_info(path).is_file:  # no document's key falls to it
+                        return
+                    with files.open_input_stream(path) as f:
+                        data = f.read()
+                there, slots = find(data, keys_of(batch.column("doc_id"), batch.column("turn").to_numpy()))
+                at = pa.array(np.flatnonzero(there))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("turn").take(at), *[pa.array(slots[c][there].astype(np.int64)) for c in names]], names=["doc_id", "turn", *names])
+
+    return dealt.mapInArrow(look, "doc_id long, turn int, " + ", ".join(f"{c} long" for c in names))
+
+
+def read_token_files(ids: DataFrame, folder: str, with_ids: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """ids: doc_id. doc_id, turn, start, n_tokens, ids_crc32, ids (binary, 32-bit; only with_ids), of every document of these ids, read from
+    the files in folder and from nothing else. An id that the files lack has no row; a null id is that of the documents without one;
+    an id that is asked for twice comes twice. No ids give no rows. Other columns aren't read."""
+    n_index, base = _layout(ids.sparkSession, folder)
+    asked = ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("turn"))
+    found = stored(_looked_up(asked, base, n_index), "token_file_slots")
+    more = found.filter("copies > 1").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("copies") - 1).cast("int"))).alias("turn"))
+    if not more.isEmpty():
+        found = found.unionByName(_looked_up(more, base, n_index))
+    wanted = found.select("doc_id", "turn", "width", "shard", "first", "n", "start").repartition("shard").sortWithinPartitions("shard", "first")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(base)
+        shard, f = None, None
         for batch in batches:
-            doc_id, shard = batch.column("doc_id"), batch.column("shard").to_pylist()
-            cuts = [0, *[i for i in range(1, len(shard)) if shard[i] != shard[i - 1]], len(shard)]
-            keyed = keys_of(doc_id.fill_null(-(2**63)).to_numpy(), batch.column("turn").to_numpy())
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                with files.open_input_file(f"{root}/{shard[low]}") as f:
-                    reader = ShardReader(lambda at, n, f=f: f.read_at(n, at))
-                    found = reader.find(keyed[low:high])
-                    if (found["first"] == 2**64 - 1).any():
-                        raise ValueError(f"{shard[low]} lacks a document")
-                    for s in range(low, high, BATCH_DOCS):
-                        some, at = batch.slice(s, min(BATCH_DOCS, high - s)), found[s - low : s - low + BATCH_DOCS]
-                        data = [reader.ids(int(x["first"]), int(x["n"])).tobytes() for x in at]
-                        start = some.column("shard_start").to_numpy() + at["first"].astype(np.int64)
-                        out = [some.column("doc_id"), some.column("turn"), pa.array(start), pa.array(at["n"].astype(np.int64)), pa.array([binascii.crc32(x) for x in data], pa.int64())]
-                        names = ["doc_id", "turn", "start", "n_tokens", "ids_crc32"]
-                        yield pa.RecordBatch.from_arrays(out + [pa.array(data, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
-
-    return wanted.mapInArrow(read, schema)
+            for s in range(0, len(batch), BATCH_DOCS):
+                some, data = batch.slice(s, BATCH_DOCS), []
+                for now, width, first, n in zip(*[some.column(c).to_pylist() for c in ("shard", "width", "first", "n")], strict=True):
+                    if now != shard:
+                        if f is not None:
+                            f.close()
+                        shard, f = now, files.open_input_file(f"{root}/{shard_name(now)}")
+                        if f.read_at(8, 0) != SHARD_MAGIC:
+                            raise ValueError(f"{shard_name(now)} is not a shard")
+                    raw = f.read_at(n * width, SHARD_HEAD + first * width)
+                    data.append(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+                out = [some.column("doc_id"), some.column("turn"), some.column("start"), some.column("n"), pa.array([binascii.crc32(x) for x in data], pa.int64())]
+                names = ["doc_id", "turn", "start", "n_tokens", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(data, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        if f is not None:
+            f.close()
+
+    return wanted.mapInArrow(read, "doc_id long, turn int, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = shared_path(spark, "token_files")
-    written = write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    found = read_token_files(written.select("doc_id", "turn", "shard"), folder, shard_starts(written), with_ids=False)
-    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+    folder, docs = shared_path(spark, "token_files"), documents(spark, sf_dir)
+    write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_token_files(docs.select("doc_id").distinct(), folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
