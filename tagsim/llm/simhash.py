@@ -2,9 +2,10 @@
 the fingerprints that can be near, the Hamming distance decides.
 
 The bit counts of any segments differ in sum by no more than the bits do. With 32 segments of two bits, two fingerprints that differ
-in at most 3 bits have counts within Manhattan distance 3, so in one half of the segments within distance 1. The grid's cells are the
-count vectors of either half; a fingerprint looks into its own cell and into those one step up, which meets each such pair once or
-twice and leaves about one candidate in 100,000 pairs of unrelated fingerprints."""
+in at most 3 bits have counts within Manhattan distance 3, so in one half of the segments within distance 1, and then in one quarter of
+that half not a single bit differs. The grid's cells are such a quarter's bits with the counts of the half's other quarter, in four
+ways; a fingerprint looks into its own cells and into those one step up, which meets each such pair once or a few times and leaves
+about one candidate in 3.5 million pairs of unrelated fingerprints."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import ROW_KEY, documents, row_key, stored
+from tagsim.llm.common import ROW_KEY, documents, row_key, spare_name, stored
 from tagsim.llm.components import components
 
 SHINGLE = 3
@@ -24,7 +25,8 @@ MAX_BITS = 3
 SEED = 42
 #: Shingles of a document whose bits are counted at once.
 CHUNK = 1 << 15
-HALF_MASK = 0x55555555
+#: The lower bit of each segment of a quarter.
+LOW_BITS = 0x5555
 PIVOTS = 4
 
 
@@ -55,21 +57,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(of, f"doc_id long, row_key {ROW_KEY}, fp long")
 
 
-def _counts(fp: Column, half: int) -> Column:
-    """Bit counts of 16 segments of two bits, in fields of two bits."""
-    bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    return bits.bitwiseAND(F.lit(HALF_MASK)) + F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(HALF_MASK))
-
-
 def _cells(fps: DataFrame, *also: str) -> DataFrame:
-    """fp, cell, home, also: the two cells that a fingerprint lies in (home), and those one step up (not home)."""
+    """fp, cell, home, also: the four cells that a fingerprint lies in (home), and those one step up (not home). A cell is a long: which
+    quarter, its 16 bits, and the other quarter's eight counts in fields of two bits."""
+    quarter = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     cells = []
-    for half in (0, 1):
-        counts = _counts(F.col("fp"), half)
-        tag = half << 33
-        cells.append(F.struct((counts + tag).alias("cell"), F.lit(True).alias("home")))
-        for i in range(16):
-            step = F.when(F.shiftright(counts, 2 * i).bitwiseAND(F.lit(3)) < 2, counts + (tag + (1 << (2 * i))))
+    for k in range(4):
+        other = quarter[k ^ 1]
+        counts = other.bitwiseAND(F.lit(LOW_BITS)) + F.shiftrightunsigned(other, 1).bitwiseAND(F.lit(LOW_BITS))
+        cell = F.lit(k << 32) + F.shiftleft(quarter[k], 16) + counts
+        cells.append(F.struct(cell.alias("cell"), F.lit(True).alias("home")))
+        for i in range(8):
+            step = F.when(F.shiftright(counts, 2 * i).bitwiseAND(F.lit(3)) < 2, cell + (1 << (2 * i)))
             cells.append(F.struct(step.alias("cell"), F.lit(False).alias("home")))
     placed = fps.select("fp", *also, F.explode(F.array(*cells)).alias("c"))
     return placed.filter(F.col("c.cell").isNotNull()).select("fp", *also, F.col("c.cell").alias("cell"), F.col("c.home").alias("home"))
@@ -80,8 +79,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     as all such pairs do.
 
     First every fingerprint of a cell is compared with a few pivots of the cell: the links grow with the fingerprints, not with the
-    pairs of a large group of near copies. Then only cells that still hold more than one component are joined, and of them only pairs
-    in different components, so no pair that could join two components is left out."""
+    pairs of a large group of near copies. Then only cells that still hold more than one component are joined, and there the largest
+    component's own pairs are never formed, so no pair that could join two components is left out."""
     if max_bits > 3:
         raise ValueError("the grid holds for at most 3 bits")
 
@@ -100,11 +99,15 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     labelled = stored(fps.join(grouped, fps["fp"] == grouped["node"], "left").select("fp", F.coalesce("component", "fp").alias("part")), "simhash_parts")
     members = _cells(labelled, "part")
     mixed = members.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("home").alias("lived")).filter("low < high AND lived").select("cell")
-    mixed = stored(mixed, "simhash_mixed_cells")
-    left = members.join(mixed, "cell").select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
-    right = members.filter("home").join(mixed, "cell").select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b"))
-    rest = left.join(right, "cell").filter((F.col("part_a") != F.col("part_b")) & near("a", "b")).select("a", "b")
-    return first.unionByName(rest)
+    inside = stored(members.join(stored(mixed, "simhash_mixed_cells"), "cell"), "simhash_mixed")
+    sizes = inside.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = stored(sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("largest")), "simhash_largest")
+    inside = stored(inside.join(largest, "cell").withColumn("main", F.col("part") == F.col("largest")).drop("largest"), "simhash_mixed")
+    left = inside.select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"), F.col("main").alias("main_a"))
+    right = inside.filter("home").select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b"), F.col("main").alias("main_b"))
+    # two of different components are not both in the largest
+    pairs = left.join(right.filter("NOT main_b"), "cell").unionByName(left.filter("NOT main_a").join(right.filter("main_b"), "cell"))
+    return first.unionByName(pairs.filter((F.col("part_a") != F.col("part_b")) & near("a", "b")).select("a", "b"))
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -126,8 +129,10 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc
 
 
 def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: its least doc_id; rows that repeat it go too."""
-    key = "__simhash_key"
+    """docs with one row of each group: its least doc_id, null last; rows that repeat it in id and text go too, whichever other columns
+    they have. Null and empty texts are one group, of which one row stays. An empty table gives an empty table. Columns of docs may
+    have any names."""
+    key = spare_name(docs, "key")
     kept = simhash_groups(docs, max_bits, id_col, text_col).filter("kept").select(F.col("row_key").alias(key)).distinct()
     return docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(kept, key).dropDuplicates([key]).select(*docs.columns)
 
