@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -20,7 +21,7 @@ from tagsim.llm.mixing import document_blocks, mix_sources, mix_texts, permuted,
 from tagsim.llm.packing import Packing, cut_lengths, nnls, pack_documents, packed_sequences
 from tagsim.llm.substring_dedup import op8_substring_dedup, spliced
 from tagsim.llm.token_counts import token_counts
-from tagsim.llm.token_files import PerfectHash, ShardReader, keys_of, pack_shard, read_token_files, shard_starts, write_token_files
+from tagsim.llm.token_files import PerfectHash, find, keys_of, pack_index, pack_shard, read_token_files, write_token_files
 from tagsim.llm.tokens import count_tokens, encode_bytes
 from tests.helpers import SMALL
 
@@ -72,34 +73,46 @@ def test_perfect_hash_is_minimal(n):
     assert sorted(index.slots(keys).tolist()) == list(range(n))
 
 
-def test_shard_finds_its_keys_only():
-    keys = keys_of(np.arange(500), np.zeros(500))
-    ids = [np.arange(i % 7, dtype="<u4").tobytes() for i in range(500)]
-    data = pack_shard(keys, ids)
-    reader = ShardReader(lambda at, n: data[at : at + n])
-    assert [reader.ids(int(e["first"]), int(e["n"])).tobytes() for e in reader.find(keys)] == ids
-    assert (reader.find(keys_of(np.arange(500, 900), np.zeros(400)))["first"] == 2**64 - 1).sum() >= 399
-    wide = pack_shard(keys[:1], [np.array([70_000], "<u4").tobytes()])
-    assert ShardReader(lambda at, n: wide[at : at + n]).ids(0, 1).tolist() == [70_000]
+def test_index_finds_its_keys_only():
+    keys = keys_of(pa.array([None, *range(499)]), np.zeros(500))
+    data = pack_index(keys, {"n": np.arange(500), "shard": np.arange(500) * 3})
+    there, slots = find(data, keys)
+    assert there.all() and slots["n"].tolist() == list(range(500)) and slots["shard"].tolist() == [3 * i for i in range(500)]
+    strange = keys_of(pa.array(range(500, 900)), np.zeros(400))
+    assert find(data, strange)[0].sum() <= 1 and find(data, keys_of(pa.array([5, None]), np.ones(2)))[0].sum() <= 1
+    assert pack_shard([np.array([70_000], "<u4").tobytes()])[1] == 4 and pack_shard([np.array([7], "<u4").tobytes(), b""])[1] == 2
 
 
 def test_token_files_round_trip(spark, library, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "TASK_DOCS", 40)
+    monkeypatch.setattr(token_files, "INDEX_KEYS", 50)
+    monkeypatch.setattr(token_files, "START_TASKS", 2)
     texts = ODD + texts_of(spark)[:120]
-    rows = [(1000 - 3 * i, t) for i, t in enumerate(texts)] + [(1000, "again"), (1000, "again"), (None, "no id"), (None, None)]
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(texts)] + [(1000, "again"), (1000, "again"), (None, "no id"), (None, None), (0, "zero"), (-(2**63), "least")] + [(5, f"many {i % 7}") for i in range(90)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
     folder = str(tmp_path / "ids")
-    written = write_token_files(docs, BYTES, folder, shard_ids=5000)
-    got = read_token_files(written.select("doc_id", "turn", "shard"), folder, shard_starts(written)).collect()
+    write_token_files(docs, BYTES, folder, shard_ids=5000)
+    # the reader has the folder and the ids, nothing else
+    asked = spark.createDataFrame([(i,) for i in sorted({r[0] for r in rows}, key=str)] + [(10**12,)], "doc_id long")
+    got = read_token_files(asked, folder).collect()
     at, expected = 0, []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash([r[1] or ""]), r[1] or "")):
         ids = library[BYTES].encode(text or "", add_special_tokens=False).ids + [2]
         expected.append((doc_id, at, len(ids), binascii.crc32(np.array(ids, "<u4").tobytes()), np.array(ids, "<u4").tobytes()))
         at += len(ids)
     found = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in got), key=lambda r: r[1])
-    assert found == expected and written.select("shard").distinct().count() > 3
-    assert not [p for p in (tmp_path / "ids").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
-    assert write_token_files(docs.limit(0), BYTES, str(tmp_path / "none")).count() == 0
+    assert found == expected
+    turns = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["start"]):
+        turns[r["doc_id"]].append(r["turn"])
+    assert all(t == list(range(len(t))) for t in turns.values()) and len(turns[5]) == 90
+    names = [p.name for p in (tmp_path / "ids").iterdir()]
+    assert sum(n.startswith("shard") for n in names) > 3 and sum(n.startswith("index") for n in names) > 3
+    assert not [n for n in names if n.startswith(".") and not n.endswith(".crc")]
+    assert read_token_files(asked.limit(0), folder).count() == 0
+    write_token_files(docs.limit(0), BYTES, str(tmp_path / "none"))
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["layout"]
+    assert read_token_files(asked, str(tmp_path / "none")).count() == 0
 
 
 def test_token_files_query(spark, library):
@@ -111,6 +124,20 @@ def test_token_files_query(spark, library):
         at += len(ids)
 
 
+def test_token_counts_query(spark, library, tmp_path):
+    """On the small table, and on one with huge documents, against the library on whole texts."""
+    texts = texts_of(spark)[:20]
+    long = [" ".join(texts) * 3, "é́ ﬁ " * 20_000, "x" * 50_000, "日本 語 " * 12_000, None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts + long)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (SMALL, str(tmp_path)):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.QUERIES["op7_token_counts"](spark, folder).collect()}
+        expected = {}
+        for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+            n = len(library[WORDS].encode(r["text"] or "", add_special_tokens=False).ids)
+            expected[r["doc_id"]] = (len((r["text"] or "").encode()), n, n > 2048)
+        assert got == expected
+
+
 def test_nnls():
     a = np.random.default_rng(1).random((12, 30))
     x = np.zeros(30)
