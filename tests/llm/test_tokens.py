@@ -357,7 +357,6 @@ def plain_substrings(docs: list[tuple[int, str]], window: int = 20) -> dict:
 @pytest.mark.parametrize("chunk", [1 << 16, 50])
 def test_substrings(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
-    substring_dedup._sums.clear()
     rng = np.random.default_rng(4)
     passages = [[f"p{k}.{i}" for i in range(int(rng.integers(15, 120)))] for k in range(8)]
     docs = [(0, ""), (1, "a " * 400), (2, "b c " * 100), (3, "\x0b".join("a" * 30)), (4, " ".join(["é x"] * 25))]
@@ -372,7 +371,6 @@ def test_substrings(spark, tmp_path, monkeypatch, chunk):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op8_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == plain_substrings(docs)
-    substring_dedup._sums.clear()
 
 
 def test_substrings_of_odd_rows(spark):
@@ -388,7 +386,30 @@ def test_spliced():
 
 
 def test_verification_sees_a_span_that_differs(spark):
-    docs = spark.createDataFrame([(1, "a " * 30), (2, "a " * 29 + "b")], "doc long, text string")
+    docs = spark.createDataFrame([(1, 1, "a " * 30, 1), (2, 2, "a " * 29 + "b", 1)], "doc long, doc_id long, text string, copies long")
     kind = "doc long, spans array<struct<first: long, count: long, source_doc: long, source: long>>"
-    assert substring_dedup.verified(docs, spark.createDataFrame([(2, [(0, 10, 1, 0)])], kind)) == 0
-    assert substring_dedup.verified(docs, spark.createDataFrame([(2, [(0, 11, 1, 0)])], kind)) == 1
+    for count, wrong in ((10, 0), (11, 1)):
+        spans = spark.createDataFrame([(2, [(0, count, 1, 0)])], kind)
+        assert substring_dedup.differing(spans, substring_dedup._cut(docs, spans)) == wrong
+
+
+def test_differing_spans_lead_to_other_hashes(spark, monkeypatch):
+    long, seeds, answers = [" ".join(f"{c}{i}" for i in range(40)) for c in "xy"], [], iter([1, 0])
+    real = substring_dedup.repeated_spans
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda docs, seed: seeds.append(seed) or real(docs, seed))
+    monkeypatch.setattr(substring_dedup, "differing", lambda spans, cut: next(answers))
+    docs = spark.createDataFrame([(1, long[0]), (2, long[1]), (3, long[1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 40} and seeds == [0, 1]
+
+
+def test_words_are_hashed_as_they_are():
+    hasher, rng = substring_dedup.Hasher(3), np.random.default_rng(1)
+    texts = ["", " a\tb ", "é 日本\x0b😀", "a", "b" * 700_000 + " a", "x" * 100 + " b", *[" ".join(rng.choice(["a", "bb", "é"], 300)) for _ in range(3)]]
+    hashes, begin = hasher.words(pa.array(["skipped", *texts]).slice(1))
+    names: dict = {}
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        assert begin[i + 1] - begin[i] == len(words)
+        for w, h in zip(words, hashes[begin[i] : begin[i + 1]].tolist(), strict=True):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
