@@ -13,8 +13,8 @@ only among paths of one anchor.
     4. Spans have their source's coordinates. Neighbours with one source and one distance are spliced, and each span's words are held
        against its source's. If any differ (equal hashes of different words), all is done again with other hashes.
 
-Hashes are sums of random numbers times powers of an odd base, in 64 bits, worked out for many documents at once; paths and windows are
-compared by two of different base."""
+Hashes are sums of random numbers times powers of an odd base, in 64 bits, worked out for many documents at once; paths are compared by
+two of different base, windows by one and half of another."""
 
 from __future__ import annotations
 
@@ -168,7 +168,11 @@ class Hasher:
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns.values()], names=list(columns))
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.itemsize == 8 else c.view(np.int32)) for c in columns.values()], names=list(columns))
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 #: Texts of a batch that are hashed together.
@@ -239,9 +243,9 @@ def repeated_paths(docs: DataFrame, seed: int) -> DataFrame:
 
     def give(doc: np.ndarray, p: Paths, _) -> pa.RecordBatch:
         ok = _passes(bits, n_bits, _mixed(p.anchor))
-        return _batch(anchor=p.anchor[ok], words=p.words[ok], node_a=p.left[ok], node_b=p.right[ok], doc=doc[p.row[ok]], at=p.at()[ok])
+        return _batch(anchor=p.anchor[ok], words=p.words[ok], node_a=_short(p.left[ok]), node_b=_short(p.right[ok]), doc=doc[p.row[ok]], at=p.at()[ok])
 
-    passed = _scanned(docs, seed, give, "anchor long, words long, node_a long, node_b long, doc long, at long")
+    passed = _scanned(docs, seed, give, "anchor long, words long, node_a int, node_b int, doc long, at long")
     out = stored(passed.join(anchors, "anchor"), "substring_paths")
     emptied(anchors)
     return out
@@ -253,9 +257,9 @@ def repeated_windows(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame
     bits, n_bits = bit_filter(wanted, lambda batch: _place_key(batch.column("doc").to_numpy(), batch.column("at").to_numpy()))
 
     def give(doc: np.ndarray, p: Paths, w: dict) -> pa.RecordBatch:
-        return _batch(h=w["h"], h2=w["h2"], node_a=w["left"], node_b=w["right"], doc=doc[p.row[w["path"]]], place=w["place"])
+        return _batch(h=w["h"], h2=_short(w["h2"]), node_a=_short(w["left"]), node_b=_short(w["right"]), doc=doc[p.row[w["path"]]], place=w["place"])
 
-    out = _scanned(docs, seed, give, "h long, h2 long, node_a long, node_b long, doc long, place long", lambda doc, p: _passes(bits, n_bits, _place_key(doc, p.at())))
+    out = _scanned(docs, seed, give, "h long, h2 int, node_a int, node_b int, doc long, place long", lambda doc, p: _passes(bits, n_bits, _place_key(doc, p.at())))
     return stored(out, "substring_windows")
 
 
@@ -263,6 +267,7 @@ def unitigs(edges: DataFrame) -> DataFrame:
     """edges: node_a, node_b, doc, first, count (each edge once, with its source). doc, first, count, unitig: the source's first window of the
     unitig that the edge is compacted into.
 
+    A node is told by 32 bits: as edges are compacted only side by side in one source, nodes that share them merely end a unitig early.
     A node's in-degree counts the edges that end there, its out-degree those that begin; where both are one, the edge that ends there is the
     only one, and is told by the sums. Unitigs are numbered along their source, whose edges are bounded by its length."""
     end = F.col("first") + F.col("count")
@@ -298,6 +303,7 @@ def repeated_spans(docs: DataFrame, seed: int = 0) -> DataFrame:
     graph = stored(compact.unionByName(again.selectExpr("node_a", "node_b", "source_doc AS doc", "source AS first", "1L AS count")), "substring_graph")
     told = stored(unitigs(graph).select(F.col("doc").alias("source_doc"), F.col("first").alias("source"), "count", "unitig"), "substring_unitigs")
     repeats = stored(whole.unionByName(lone), "substring_repeats")
+    emptied(paths, equal, parted, wanted, windows, again, graph)
     # repeats of one unitig at one distance are one span where they lie side by side
     run = repeats.join(told, ["source_doc", "source", "count"], "left").withColumn("shift", F.col("source") - F.col("first"))
     run = run.groupBy("doc", "source_doc", "shift", F.coalesce("unitig", "source").alias("unitig")).agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("count")).alias("high"), F.sum("count").alias("sum"), F.collect_list(F.struct("first", "count")).alias("each"))
@@ -317,7 +323,7 @@ def repeated_spans(docs: DataFrame, seed: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(out, kinds)], names=["doc", "spans"])
 
     out = stored(listed.mapInArrow(splice, "doc long, spans array<struct<first: long, count: long, source_doc: long, source: long>>"), "substring_spans")
-    emptied(paths, equal, parted, wanted, windows, again, graph, told, repeats)
+    emptied(told, repeats)
     return out
 
 
