@@ -12,6 +12,7 @@ from tagsim.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from tagsim.llm.token_counts import op7_token_counts
 from tagsim.llm.token_files import op4_token_files
 from tagsim.llm.url_filter import OP6_SQL, op6_url_filter
+from tagsim.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL}
