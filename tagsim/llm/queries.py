@@ -8,6 +8,7 @@ from tagsim.llm.mixing import op10_mix_sources
 from tagsim.llm.packing import op5_pack
 from tagsim.llm.quality_rules import OP3_SQL, op3_quality_rules
 from tagsim.llm.simhash import op2_simhash
+from tagsim.llm.spelling import OP12_SQL, op12_spelling
 from tagsim.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from tagsim.llm.token_counts import op7_token_counts
 from tagsim.llm.token_files import op4_token_files
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spelling": op12_spelling,
 }
-ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL}
+ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling": OP12_SQL}
