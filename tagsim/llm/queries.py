@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tagsim.llm.cover_tree import OP1_SQL, op1_cover_tree
+from tagsim.llm.html_text import op13_html_text
 from tagsim.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tagsim.llm.mixing import op10_mix_sources
 from tagsim.llm.packing import op5_pack
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
     "op11_vector_codes": op11_vector_codes,
     "op12_spelling": op12_spelling,
+    "op13_html_text": op13_html_text,
 }
 ORACLES = {"op1_cover_tree": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling": OP12_SQL}
