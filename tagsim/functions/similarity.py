@@ -3,7 +3,7 @@ another order gives other last bits, and ties would break another way."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,19 +25,13 @@ def mask_cosine(a: Column, b: Column) -> Column:
     return ratio(F.bit_count(a.bitwiseAND(b)), F.bit_count(a), F.bit_count(b))
 
 
-def set_cosine(a: Column, b: Column) -> Column:
-    """Of two tag sets, as arrays without repeats."""
-    return ratio(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+def word_cosine(a: Column, b: Column) -> Column:
+    """Of two tag sets, as masks of several 64-bit words: arrays of (word, bits)."""
+    def size(mask: Column) -> Column:
+        return F.aggregate(mask, F.lit(0), lambda n, w: n + F.bit_count(w["bits"]))
 
-
-def overlap_scores(queries: DataFrame, cases: DataFrame, query_key: str = "query_id", case_key: str = "case_id") -> DataFrame:
-    """Of tag sets in long form (key, tag; each tag once): query_key, case_key, score of all pairs that share a tag. For any vocabulary.
-
-    Sizes go along with the rows, so that only the join on tag and one aggregate shuffle."""
-    nq, nc = queries.groupBy(query_key).agg(F.count(F.lit(1)).alias("nq")), cases.groupBy(case_key).agg(F.count(F.lit(1)).alias("nc"))
-    pairs = queries.join(nq, query_key).join(cases.join(nc, case_key), "tag")
-    dots = pairs.groupBy(query_key, case_key).agg(F.count(F.lit(1)).alias("dot"), F.first("nq").alias("nq"), F.first("nc").alias("nc"))
-    return dots.select(query_key, case_key, ratio(F.col("dot"), F.col("nq"), F.col("nc")).alias("score"))
+    shared = F.aggregate(a, F.lit(0), lambda n, w: n + F.coalesce(F.bit_count(F.get(F.filter(b, lambda v: v["word"] == w["word"]), F.lit(0))["bits"].bitwiseAND(w["bits"])), F.lit(0)))
+    return ratio(shared, size(a), size(b))
 
 
 def match_pct(score: Column) -> Column:

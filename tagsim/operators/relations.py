@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsim.functions.similarity import mask_cosine, match_pct, set_cosine
+from tagsim.functions.similarity import mask_cosine, match_pct, word_cosine
+from tagsim.operators.search import of_listed
+from tagsim.operators.vocab import MAX_BROADCAST
+from tagsim.sources.tables import written
 
 THRESHOLD = 0.35
 
 
 def _pairs(ranked: DataFrame, masks: DataFrame, condition: str) -> DataFrame:
-    """Pairs within a list; a list has at most k cases, so a query has at most k * k pairs. A mask is a number, or, of a vocabulary of
-    over 63 tags, the array of a case's tags."""
-    own = ranked.select("query_id", "case_id", "rank").join(masks.select("case_id", "mask"), "case_id")
+    """Pairs within a list; a list has at most k cases, so a query has at most k * k pairs. A mask is a number, or, of a vocabulary of over 63 tags, one of
+    several words: those are joined to the different pairs of cases, not carried along with the lists."""
+    own = written(ranked.select("query_id", "case_id", "rank"), "lists")
     a, b = own.alias("a"), own.alias("b")
-    alike = mask_cosine if dict(own.dtypes)["mask"] == "bigint" else set_cosine
     joined = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & F.expr(condition))
-    return joined.select(F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank"), alike(F.col("a.mask"), F.col("b.mask")).alias("sim"))
+    pairs = joined.select(F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank"))
+    listed = written(of_listed(own, masks.select("case_id", "mask")), "listed_masks")
+    alike = mask_cosine if dict(masks.dtypes)["mask"] == "bigint" else word_cosine
+    few = listed.count() <= MAX_BROADCAST // 10
+    sims = pairs.select("a_id", "b_id").distinct()
+    for end in ("a", "b"):
+        ends = listed.select(F.col("case_id").alias(f"{end}_id"), F.col("mask").alias(f"{end}_mask"))
+        sims = sims.join(F.broadcast(ends) if few else ends, f"{end}_id")
+    return pairs.join(sims.select("a_id", "b_id", alike(F.col("a_mask"), F.col("b_mask")).alias("sim")), ["a_id", "b_id"])
 
 
 def related(ranked: DataFrame, masks: DataFrame, k: int = 3) -> DataFrame:
@@ -46,6 +56,7 @@ def graph_edges(ranked: DataFrame, masks: DataFrame, threshold: float = THRESHOL
 
 def graph_nodes(ranked: DataFrame, cases: DataFrame) -> DataFrame:
     """query_id, case_id, label (the title, cut to 11 characters and an ellipsis if longer than 12), score, rank. Characters are code
-    points."""
+    points. Only the titles of ranked cases are joined."""
+    ranked = written(ranked, "ranked")
     label = F.when(F.length("title") > 12, F.concat(F.substring("title", 1, 11), F.lit("…"))).otherwise(F.col("title"))
-    return ranked.join(cases.select("case_id", label.alias("label")), "case_id").select("query_id", "case_id", "label", "score", "rank")
+    return ranked.join(of_listed(ranked, cases.select("case_id", label.alias("label"))), "case_id").select("query_id", "case_id", "label", "score", "rank")

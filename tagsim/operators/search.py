@@ -6,50 +6,49 @@ signature is given out to its queries. No step pairs rows with rows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsim.functions.similarity import mask_cosine, match_pct, overlap_scores
-from tagsim.operators.vocab import MASK_BITS, in_vocab, tag_mask
+from tagsim.functions.similarity import mask_cosine, match_pct
+from tagsim.operators.sets import TagSets, best_candidates, ordered_tags, overlap_scores, scored, tag_frequencies
+from tagsim.operators.vocab import MASK_BITS, MAX_BROADCAST, Vocabulary, tag_mask, tag_words
 from tagsim.sources.tables import written
 
 #: Signature pairs that a nested-loop join may look at, with the smaller side's rows broadcast at most. Beyond it, the join on tags.
 MAX_PAIRS = 200_000_000
-MAX_BROADCAST = 200_000
-
 
-def signed(df: DataFrame, vocab: list[str], tags_col: str = "tags") -> DataFrame:
-    """df with column sig: a bit mask, or an array of tags in the vocabulary's order if that has more than 63 tags."""
-    if len(vocab) <= MASK_BITS:
-        return tag_mask(df, vocab, tags_col, "sig")
-    return in_vocab(df.withColumn("sig", F.col(tags_col)), vocab, "sig")
 
+def signed(df: DataFrame, vocab: list[str] | Vocabulary, tags_col: str = "tags", id_col: str | None = None) -> DataFrame:
+    """df with column sig: a bit mask, or, of a vocabulary of over 63 tags, a mask of several words. Those are made by id_col, which names each row once; it
+    is case_id or else query_id."""
+    vocab = Vocabulary.listed(df.sparkSession, vocab)
+    if vocab.tags is not None:
+        return tag_mask(df, vocab.tags, tags_col, "sig")
+    id_col = id_col or ("case_id" if "case_id" in df.columns else "query_id")
+    words = tag_words(df, vocab, id_col, tags_col, "sig")
+    return df.join(words, id_col, "left").withColumn("sig", F.coalesce("sig", F.array().cast("array<struct<word: int, bits: bigint>>")))
 
-def _some(vocab: list[str]):
-    return F.col("sig") != 0 if len(vocab) <= MASK_BITS else F.size("sig") > 0
 
-
-def signature_scores(queries: DataFrame, cases: DataFrame, vocab: list[str]) -> DataFrame:
-    """queries, cases: sig, each once, not empty. q_sig, c_sig, score of all that share a tag."""
+def signature_scores(queries: DataFrame, cases: DataFrame, n_tags: int = MASK_BITS) -> DataFrame:
+    """queries, cases: sig, a mask of one number, each once, not 0; tables. q_sig, c_sig, score of all that share a tag."""
     q, c = queries.select(F.col("sig").alias("q_sig")), cases.select(F.col("sig").alias("c_sig"))
-    if len(vocab) <= MASK_BITS:
-        nq, nc = q.count(), c.count()
-        if nq * nc <= MAX_PAIRS and min(nq, nc) <= MAX_BROADCAST:
-            # the smaller side has been counted, so it may be sent to every executor
-            left, right = (F.broadcast(q), c) if nq <= nc else (q, F.broadcast(c))
-            return left.join(right, F.col("q_sig").bitwiseAND(F.col("c_sig")) != 0).select("q_sig", "c_sig", mask_cosine(F.col("q_sig"), F.col("c_sig")).alias("score"))
-        tags = F.array(*[F.when(F.getbit("sig", F.lit(i)) == 1, F.lit(i)) for i in range(len(vocab))])
-    else:
-        tags = F.col("sig")
+    nq, nc = q.count(), c.count()
+    if nq * nc <= MAX_PAIRS and min(nq, nc) <= MAX_BROADCAST:
+        # the smaller side has been counted, so it may be sent to every executor
+        left, right = (F.broadcast(q), c) if nq <= nc else (q, F.broadcast(c))
+        return left.join(right, F.col("q_sig").bitwiseAND(F.col("c_sig")) != 0).select("q_sig", "c_sig", mask_cosine(F.col("q_sig"), F.col("c_sig")).alias("score"))
+    tags = F.array(*[F.when(F.getbit("sig", F.lit(i)) == 1, F.lit(i)) for i in range(n_tags)])
     q_long = queries.select(F.col("sig").alias("q_sig"), F.explode(tags).alias("tag")).filter("tag IS NOT NULL")
     c_long = cases.select(F.col("sig").alias("c_sig"), F.explode(tags).alias("tag")).filter("tag IS NOT NULL")
     return overlap_scores(q_long, c_long, "q_sig", "c_sig")
 
 
-def smallest_ids(cases: DataFrame, k: int) -> DataFrame:
+def smallest_ids(cases: DataFrame, k: int, id_col: str = "case_id") -> DataFrame:
     """cases: case_id, sig. The k smallest ids of each signature; each task cuts its own before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy("case_id"))
-    return cases.select("case_id", "sig").withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy(id_col))
+    return cases.select(id_col, "sig").withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
 
 
 def rank_cases(scored: DataFrame, by: str = "query_id") -> DataFrame:
@@ -61,35 +60,90 @@ def top_k(scored: DataFrame, k: int = 6, by: str = "query_id") -> DataFrame:
     return rank_cases(scored.filter("score > 0"), by).filter(F.col("rank") <= k)
 
 
-def score(queries: DataFrame, cases: DataFrame, vocab: list[str]) -> DataFrame:
-    """queries: query_id, tags; cases: case_id, tags. Scores by signature: q_sig, c_sig, score, n_queries, n_cases."""
+def score(queries: DataFrame, cases: DataFrame, vocab: list[str] | Vocabulary) -> DataFrame:
+    """queries: query_id, tags; cases: case_id, tags. Scores by signature: q_sig, c_sig (masks), score, n_queries, n_cases."""
+    vocab = Vocabulary.listed(cases.sparkSession, vocab)
+    if vocab.tags is None:
+        q, c = TagSets.of(queries, vocab, "query_id"), TagSets.of(cases, vocab, "case_id")
+        q_tags, c_tags = (written(s.tags().select(F.col("sig").alias(key), "tag"), "set_tags") for s, key in ((q, "q"), (c, "c")))
+        found = overlap_scores(q_tags, c_tags, "q", "c")
+        for side, key, n in ((q, "q", "n_queries"), (c, "c", "n_cases")):
+            found = found.join(side.table.select(F.col("sig").alias(key), F.col("mask").alias(f"{key}_sig"), F.col("n").alias(n)), key)
+        return found.select("q_sig", "c_sig", "score", "n_queries", "n_cases")
     # small tables, written once: they are counted, compared and joined below, and the texts behind them are read for none of that
-    q = written(signed(queries, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_queries")), "query_signatures")
-    c = written(signed(cases, vocab).filter(_some(vocab)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_cases")), "case_signatures")
-    found = signature_scores(q, c, vocab)
+    q = written(signed(queries, vocab).filter("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("n_queries")), "query_signatures")
+    c = written(signed(cases, vocab).filter("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("n_cases")), "case_signatures")
+    found = signature_scores(q, c, vocab.size)
     return found.join(q.withColumnRenamed("sig", "q_sig"), "q_sig").join(c.withColumnRenamed("sig", "c_sig"), "c_sig")
 
 
-def search(queries: DataFrame, cases: DataFrame, vocab: list[str], k: int = 6) -> DataFrame:
+@dataclass
+class SearchIndex:
+    """What a search needs of a corpus, as tables in the shared folder, made once: kept (case_id, sig), each signature's k smallest ids; sets (sig), each
+    signature once. Of a vocabulary of over 63 tags, signatures are numbers, sets have (n, size, mask) too, and there are the sets' tags in their order with
+    the tags' frequencies."""
+
+    vocab: Vocabulary
+    k: int
+    kept: DataFrame
+    sets: DataFrame
+    postings: DataFrame | None = None
+    frequencies: DataFrame | None = None
+
+    @classmethod
+    def of(cls, cases: DataFrame, vocab: list[str] | Vocabulary, k: int = 6) -> SearchIndex:
+        """cases: case_id, tags. For searches of up to k results."""
+        vocab = Vocabulary.listed(cases.sparkSession, vocab)
+        if vocab.tags is not None:
+            kept = written(smallest_ids(signed(cases, vocab).filter("sig <> 0"), k), "search_index")
+            return cls(vocab, k, kept, written(kept.select("sig").distinct(), "search_signatures"))
+        return cls.of_sets(TagSets.of(cases, vocab, "case_id"), vocab, k)
+
+    @classmethod
+    def of_sets(cls, sets: TagSets, vocab: Vocabulary, k: int) -> SearchIndex:
+        tags = written(sets.tags(), "set_tags")
+        frequencies = tag_frequencies(tags)
+        kept = written(smallest_ids(sets.members, k, sets.id_col), "search_index")
+        return cls(vocab, k, kept, sets.table, written(ordered_tags(tags, frequencies), "search_postings"), frequencies)
+
+    def best(self, queries: TagSets, k: int) -> DataFrame:
+        """q_sig, c_sig, score: pairs among which are all that can enter a query's k best. For vocabularies of over 63 tags."""
+        pairs = written(best_candidates(queries, self.sets, self.postings, self.frequencies, k), "search_candidates")
+        return scored(pairs, queries.table, self.sets).select(F.col("a_sig").alias("q_sig"), F.col("b_sig").alias("c_sig"), "score")
+
+    def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """queries: query_id, tags. query_id, case_id, score, rank, pct of each query's k best cases; k is the index's own, or smaller."""
+        k = k or self.k
+        if k > self.k:
+            raise ValueError(f"the index holds {self.k} cases of a signature")
+        if self.vocab.tags is not None:
+            # written once: it is counted and joined below
+            q = written(signed(queries, self.vocab).filter("sig <> 0").select("query_id", "sig"), "query_signatures")
+            found = signature_scores(written(q.select("sig").distinct(), "asked_signatures"), self.sets, self.vocab.size)
+        else:
+            sets = TagSets.of(queries, self.vocab, "query_id")
+            q, found = sets.members, self.best(sets, k)
+        listed = found.join(self.kept.withColumnRenamed("sig", "c_sig"), "c_sig").select("q_sig", "case_id", "score")
+        best = top_k(listed, k, "q_sig").withColumnRenamed("q_sig", "sig")
+        return q.join(best, "sig").select("query_id", "case_id", "score", "rank", match_pct(F.col("score")).alias("pct"))
+
+
+def search(queries: DataFrame, cases: DataFrame, vocab: list[str] | Vocabulary, k: int = 6) -> DataFrame:
     """queries: query_id, tags; cases: case_id, tags. query_id, case_id, score, rank, pct of each query's k best cases."""
-    # written once: each is counted and joined below
-    q = written(signed(queries, vocab).filter(_some(vocab)).select("query_id", "sig"), "query_signatures")
-    kept = written(smallest_ids(signed(cases, vocab).filter(_some(vocab)), k), "case_signatures")
-    found = signature_scores(q.select("sig").distinct(), kept.select("sig").distinct(), vocab)
-    scored = found.join(kept.withColumnRenamed("sig", "c_sig"), "c_sig").select("q_sig", "case_id", "score")
-    best = top_k(scored, k, "q_sig").withColumnRenamed("q_sig", "sig")
-    return q.join(best, "sig").select("query_id", "case_id", "score", "rank", match_pct(F.col("score")).alias("pct"))
+    return SearchIndex.of(cases, vocab, k).search(queries)
+
+
+def of_listed(ranked: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of table (case_id, ...) whose case is ranked. The ids, counted, go to every executor as a filter, so that other rows are not shuffled; too many ids
+    for that are joined as they are. ranked is read twice: give a table."""
+    ids = ranked.select("case_id").distinct()
+    return table.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "case_id", "left_semi")
 
 
 def with_details(ranked: DataFrame, cases: DataFrame) -> DataFrame:
-    """ranked with the cases' own fields. Only the texts of ranked cases are joined: their ids, counted, go to every executor as a filter,
-    so the other texts are not shuffled; too many ids for that are joined as they are."""
-    fields = [c for c in cases.columns if c != "tags"]
+    """ranked with the cases' own fields; only the texts of ranked cases are joined."""
     ranked = written(ranked, "ranked")
-    ids = ranked.select("case_id").distinct()
-    own = cases.select(*fields)
-    if ids.count() <= MAX_BROADCAST:
-        own = own.join(F.broadcast(ids), "case_id", "left_semi")
+    own = of_listed(ranked, cases.select(*[c for c in cases.columns if c != "tags"]))
     return ranked.join(own, "case_id").withColumn("summary", F.concat_ws("・", "industry", "problem"))
 
 

@@ -13,9 +13,10 @@ from tagsim.operators.dense import embedding_top_k
 from tagsim.operators.relations import graph_nodes, pair_edges, related, star_edges
 from tagsim.operators.relations import graph_edges as edges_of
 from tagsim.operators.search import case_detail, has_results, no_results, score, untagged_queries, with_details, with_query_tags
-from tagsim.operators.vocab import build_vocab, multi_hot
+from tagsim.operators.sets import TagSets, similar_sets
+from tagsim.operators.vocab import build_vocab, in_vocab, multi_hot, vocab_list, word_tags
 from tagsim.plans.workloads import Corpus, ranked_search, relation_graph
-from tagsim.sources.tables import read_cases, read_queries, scratch_path, tag_rules, write_graph, write_ranked
+from tagsim.sources.tables import read_cases, read_queries, scratch_path, tag_rules, write_graph, write_ranked, written
 from tagsim.streaming.stream import rank_stream
 
 
@@ -43,7 +44,7 @@ def q_vocab(spark, sf_dir):
 
 def q_multi_hot(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
-    return multi_hot(corpus.tagged, corpus.vocab).select("case_id", F.concat_ws(",", F.transform("vector", lambda v: v.cast("string"))).alias("vector"))
+    return multi_hot(corpus.tagged, corpus.vocab.tags).select("case_id", F.concat_ws(",", F.transform("vector", lambda v: v.cast("string"))).alias("vector"))
 
 
 def q_cosine_dense(spark, sf_dir):
@@ -59,7 +60,7 @@ def q_search_scores(spark, sf_dir):
     found = score(_tagged_queries(spark, sf_dir), corpus.tagged, corpus.vocab)
 
     def names(sig: str):
-        return F.array_join(F.array_compact(F.array(*[F.when(F.getbit(sig, F.lit(i)) == 1, F.lit(t)) for i, t in enumerate(corpus.vocab)])), ",")
+        return F.array_join(F.array_compact(F.array(*[F.when(F.getbit(sig, F.lit(i)) == 1, F.lit(t)) for i, t in enumerate(corpus.vocab.tags)])), ",")
 
     return found.select(names("q_sig").alias("query_tags"), names("c_sig").alias("case_tags"), "score", "n_queries", "n_cases")
 
@@ -165,8 +166,58 @@ def q_wide_signature_edges(spark, sf_dir):
     corpus = _wide(spark, sf_dir)[1]
     edges = signature_edges(corpus.tagged, corpus.vocab)
     # which of two sets comes first is told by their tags as text
-    a, b = F.concat_ws(",", "mask_a"), F.concat_ws(",", "mask_b")
-    return edges.select(F.least(a, b).alias("tags_a"), F.greatest(a, b).alias("tags_b"), F.when(a <= b, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(a <= b, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"), "sim")
+    names = F.array(*[F.lit(t) for t in vocab_list(corpus.vocab.table)])
+    a, b = (F.array_join(F.transform(word_tags(F.col(c)), lambda i: F.get(names, i.cast("int"))), ",") for c in ("mask_a", "mask_b"))
+    edges = edges.select(a.alias("a"), b.alias("b"), "n_a", "n_b", "sim")
+    first = F.col("a") <= F.col("b")
+    return edges.select(F.least("a", "b").alias("tags_a"), F.greatest("a", "b").alias("tags_b"), F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"), "sim")
+
+
+def q_wide_scores(spark, sf_dir):
+    """All scores by signature over a vocabulary of over 63 tags, some of which most documents have."""
+    rules = tag_rules(spark, tables.WIDE)
+    corpus = Corpus.from_texts(tables.cases(spark, sf_dir), rules)
+    found = score(infer_tags(tables.queries(spark, sf_dir), rules).select("query_id", "tags"), corpus.tagged, corpus.vocab)
+    size = F.aggregate("q_sig", F.lit(0), lambda n, w: n + F.bit_count(w["bits"]))
+    return found.groupBy(size.alias("n_tags"), "score").agg(F.sum(F.col("n_queries") * F.col("n_cases")).alias("n_pairs"))
+
+
+def q_wide_corpus_related(spark, sf_dir):
+    corpus = Corpus.from_texts(tables.cases(spark, sf_dir), tag_rules(spark, tables.WIDE))
+    return corpus_related(corpus.tagged, corpus.vocab)
+
+
+def _word_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus.of(tables.word_cases(spark, sf_dir))
+
+
+def q_word_vocab(spark, sf_dir):
+    """A vocabulary that grows with the corpus: the documents' words, in the order in which they are first seen."""
+    return build_vocab(tables.word_cases(spark, sf_dir))
+
+
+def q_word_known(spark, sf_dir):
+    """How many of a query's words the corpus knows, and the first of them in the corpus's order."""
+    corpus, asked = _word_corpus(spark, sf_dir), written(tables.word_queries(spark, sf_dir), "word_queries")
+    known = in_vocab(asked, corpus.vocab, id_col="query_id").select("query_id", F.size("tags").alias("n_known"), F.get("tags", F.lit(0)).alias("first_known"))
+    return known.join(asked.select("query_id", F.size("tags").alias("n_words")), "query_id")
+
+
+def q_word_search(spark, sf_dir):
+    """The ranked search with words as tags."""
+    return _word_corpus(spark, sf_dir).index().search(tables.word_queries(spark, sf_dir))
+
+
+def q_word_edges(spark, sf_dir):
+    """Pairs of different word sets of a cosine of 0.8 or more, each named by the least document that has it."""
+    corpus = _word_corpus(spark, sf_dir)
+    sets = TagSets.of(corpus.tagged, corpus.vocab, "case_id")
+    found = similar_sets(sets, 0.8).filter("a_sig <> b_sig")
+    own = sets.members.groupBy("sig").agg(F.min("case_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    for end in ("a", "b"):
+        found = found.join(own.select(F.col("sig").alias(f"{end}_sig"), F.struct("least", "n").alias(end)), f"{end}_sig")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return found.select(low["least"].alias("case_a"), high["least"].alias("case_b"), low["n"].alias("n_a"), high["n"].alias("n_b"), F.col("score").alias("sim"))
 
 
 def q_case_detail(spark, sf_dir):
@@ -279,3 +330,30 @@ ORACLES |= {
     "wide_edges": _wide_sql(ORACLES["graph_edges"]),
     "wide_signature_edges": _wide_sql(_TAGS + ", g AS (SELECT tags, n, count(*) AS k FROM cn GROUP BY tags, n), e AS (SELECT a.tags AS tags_a, b.tags AS tags_b, a.k AS n_a, b.k AS n_b, len(list_intersect(string_split(a.tags, ','), string_split(b.tags, ',')))::DOUBLE / (sqrt(a.n) * sqrt(b.n)) AS sim FROM g a JOIN g b ON a.tags <= b.tags) SELECT * FROM e WHERE sim >= 0.35"),
 }
+
+_WORDS = """
+WITH cw AS (SELECT doc_id AS case_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT case_id, unnest(w) AS tag, generate_subscripts(w, 1) AS pos FROM cw),
+ct AS MATERIALIZED (SELECT case_id, tag, min(pos) AS pos FROM c GROUP BY ALL),
+vocab AS MATERIALIZED (SELECT tag, row_number() OVER (ORDER BY min((case_id, pos))) - 1 AS idx FROM ct GROUP BY tag),
+qw AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '') AS w FROM conversations WHERE role = 'user'),
+qa AS MATERIALIZED (SELECT DISTINCT query_id, unnest(w) AS tag FROM qw),
+qt AS MATERIALIZED (SELECT query_id, tag FROM qa JOIN vocab USING (tag)),
+cn AS MATERIALIZED (SELECT case_id, count(*) AS n FROM ct GROUP BY case_id),
+qn AS MATERIALIZED (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id)
+"""
+_WORD_SETS = """,
+cs AS (SELECT case_id, string_agg(tag, ' ' ORDER BY tag) AS tags, count(*) AS size FROM ct GROUP BY case_id),
+g AS MATERIALIZED (SELECT tags, min(case_id) AS least, count(*) AS n, any_value(size) AS size FROM cs GROUP BY tags),
+t AS MATERIALIZED (SELECT least, size, tag FROM g JOIN ct ON least = case_id),
+e AS (SELECT a.least AS case_a, b.least AS case_b, count(*)::DOUBLE / (sqrt(any_value(a.size)) * sqrt(any_value(b.size))) AS sim FROM t a JOIN t b ON a.tag = b.tag AND a.least < b.least GROUP BY ALL)
+SELECT case_a, case_b, x.n AS n_a, y.n AS n_b, sim FROM e JOIN g x ON x.least = case_a JOIN g y ON y.least = case_b WHERE sim >= 0.8
+"""
+ORACLES |= {
+    "wide_scores": _wide_sql(_RANKED + "SELECT n_tags::INT AS n_tags, score, count(*) AS n_pairs FROM (SELECT query_id, case_id, score, qn.n AS n_tags FROM scores JOIN qn USING (query_id)) GROUP BY n_tags, score"),
+    "wide_corpus_related": _wide_sql(_TAGS + ", s AS (SELECT a.case_id, b.case_id AS related_id, count(*)::DOUBLE / (sqrt(any_value(x.n)) * sqrt(any_value(y.n))) AS sim FROM ct a JOIN ct b ON a.tag = b.tag AND a.case_id <> b.case_id JOIN cn x ON x.case_id = a.case_id JOIN cn y ON y.case_id = b.case_id GROUP BY a.case_id, b.case_id) SELECT case_id, related_id, sim, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY sim DESC, related_id) AS pos FROM s) WHERE pos <= 3"),
+    "word_vocab": _WORDS + "SELECT tag, idx FROM vocab",
+    "word_known": _WORDS + "SELECT query_id, coalesce(k.n, 0)::INT AS n_known, k.tag AS first_known, len(list_distinct(w))::INT AS n_words FROM qw LEFT JOIN (SELECT query_id, count(*) AS n, arg_min(tag, idx) AS tag FROM qt JOIN vocab USING (tag) GROUP BY query_id) k USING (query_id)",
+    "word_search": _WORDS + ", scores AS (SELECT query_id, case_id, count(*)::DOUBLE / (sqrt(any_value(qn.n)) * sqrt(any_value(cn.n))) AS score FROM qt JOIN ct USING (tag) JOIN qn USING (query_id) JOIN cn USING (case_id) GROUP BY query_id, case_id) SELECT query_id, case_id, score, rank::INT AS rank, floor(score * 100 + 0.5)::INT AS pct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM scores) WHERE rank <= 6",
+    "word_edges": _WORDS + _WORD_SETS,
+}

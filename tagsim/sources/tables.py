@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,20 +58,57 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(tasks, key) if len(df.inputFiles()) < tasks else df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session gets a temporary
-    folder; on a cluster, where each machine would write its own, it is an error."""
+#: The temporary folder of each local session that names no shared one.
+_local: dict[str, str] = {}
+#: Paths of the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder of its own, and
+    no setting is changed; on a cluster, where each machine would write its own, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if found:
+        return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    session = spark.sparkContext.applicationId
+    if session not in _local:
+        _local[session] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _local[session]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the innermost open scope owns it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a path of the shared folder, through the file system that Spark reaches it by."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that are written on the way inside it, and removes them at its end, also after an error. Results are lazy and read such
+    tables: use them, or write them, inside the scope. A scope within a scope owns its own."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            removed(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table in the shared folder: what reads it repeats none of the work behind it, and outlives lost executors."""
+    """df, written once as a table in the shared folder: what reads it repeats none of the work behind it, and outlives lost executors. The scope
+    that is open removes it at its end."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,3 +52,18 @@ def queries(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) ->
     """The users' turns, from the table or from a stream of its rows."""
     turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id") if turns is None else turns
     return turns.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
+def _words(text):
+    return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \n]+", -1), lambda w: w != ""))
+
+
+def word_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, tags: the documents with their own words as tags, as hand-given ones of a vocabulary that grows with the table."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return docs.select(F.col("doc_id").alias("case_id"), _words(F.col("text")).alias("tags"))
+
+
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, tags: the users' turns with their own words as tags."""
+    return queries(spark, sf_dir).select("query_id", _words(F.col("text")).alias("tags"))

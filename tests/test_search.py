@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tagsim.functions import rules as rules_module
 from tagsim.functions.rules import infer_tags
-from tagsim.functions.similarity import cosine, mask_cosine, match_pct, overlap_scores
+from tagsim.functions.similarity import cosine, mask_cosine, match_pct
 from tagsim.operators import search as search_module
 from tagsim.operators.corpus import corpus_related, signature_edges
 from tagsim.operators.dense import embedding_top_k
 from tagsim.operators.relations import graph_edges, graph_nodes, pair_edges, related
 from tagsim.operators.search import case_detail, has_results, no_results, score, search, signed, untagged_queries, with_details, with_query_tags
+from tagsim.operators.sets import overlap_scores
 from tagsim.operators.vocab import build_vocab, explode_tags, in_vocab, multi_hot, tag_mask, vocab_list
 from tagsim.plans.workloads import Corpus, ranked_search
 from tagsim.sources.tables import CASES, read_cases, read_queries, read_query_stream, tag_rules, write_graph, write_ranked
