@@ -14,8 +14,8 @@ from tagsim.sources.tables import written
 #: Vectors of a block of the base, and of the queries.
 BASE_BLOCK = 8192
 QUERY_BLOCK = 2048
-#: Cells at most, and vectors of the sample from which their pivots are chosen, for each cell.
-MAX_CELLS, SAMPLE = 256, 4
+#: Cells at most, vectors of a cell below that bound, and vectors of the sample from which their pivots are chosen, for each cell.
+MAX_CELLS, CELL, SAMPLE = 256, 2048, 4
 SLACK = 1e-9
 
 
@@ -143,7 +143,7 @@ def embedding_top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col:
     that are null, empty or zero, or hold null or non-finite components, and those of another length than the query's, match nothing."""
     asked = written(_usable(queries, id_col, vec_col), "dense_queries")
     own = _usable(vectors, id_col, vec_col)
-    n = cells or max(1, min(MAX_CELLS, int(own.count() ** 0.5 / 2)))
+    n = cells or max(1, min(MAX_CELLS, own.count() // CELL))
     pivots = _pivots(own, n)
     base = written(_celled(own, pivots), "dense_cells")
     sizes: dict[int, dict[int, tuple[int, float]]] = {}
@@ -156,6 +156,8 @@ def embedding_top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col:
 
     first = written(cut(_multiplied(written(_sent(asked, pivots, sizes, k, places), "dense_near"), base, k, places)), "dense_first")
     bound = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    if all(len(c) == 1 for c in sizes.values()):
+        return first  # each query has gone everywhere
     # without k results any positive score may be one
     again = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     far = written(_sent(again, pivots, sizes, k, places), "dense_far")

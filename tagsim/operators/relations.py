@@ -16,18 +16,22 @@ THRESHOLD = 0.35
 def _pairs(ranked: DataFrame, masks: DataFrame, condition: str) -> DataFrame:
     """Pairs within a list; a list has at most k cases, so a query has at most k * k pairs. A mask is a number, or, of a vocabulary of over 63 tags, one of
     several words: those are joined to the different pairs of cases, not carried along with the lists."""
-    own = written(ranked.select("query_id", "case_id", "rank"), "lists")
+    lists = ranked.select("query_id", "case_id", "rank")
+    narrow = dict(masks.dtypes)["mask"] == "bigint"
+    own = written(lists.join(masks.select("case_id", "mask"), "case_id") if narrow else lists, "lists")
     a, b = own.alias("a"), own.alias("b")
     joined = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & F.expr(condition))
-    pairs = joined.select(F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank"))
+    columns = [F.col("a.query_id").alias("query_id"), F.col("a.case_id").alias("a_id"), F.col("b.case_id").alias("b_id"), F.col("a.rank").alias("a_rank"), F.col("b.rank").alias("b_rank")]
+    if narrow:
+        return joined.select(*columns, mask_cosine(F.col("a.mask"), F.col("b.mask")).alias("sim"))
+    pairs = joined.select(*columns)
     listed = written(of_listed(own, masks.select("case_id", "mask")), "listed_masks")
-    alike = mask_cosine if dict(masks.dtypes)["mask"] == "bigint" else word_cosine
     few = listed.count() <= MAX_BROADCAST // 10
     sims = pairs.select("a_id", "b_id").distinct()
     for end in ("a", "b"):
         ends = listed.select(F.col("case_id").alias(f"{end}_id"), F.col("mask").alias(f"{end}_mask"))
         sims = sims.join(F.broadcast(ends) if few else ends, f"{end}_id")
-    return pairs.join(sims.select("a_id", "b_id", alike(F.col("a_mask"), F.col("b_mask")).alias("sim")), ["a_id", "b_id"])
+    return pairs.join(sims.select("a_id", "b_id", word_cosine(F.col("a_mask"), F.col("b_mask")).alias("sim")), ["a_id", "b_id"])
 
 
 def related(ranked: DataFrame, masks: DataFrame, k: int = 3) -> DataFrame:

@@ -32,7 +32,7 @@ def signed(df: DataFrame, vocab: list[str] | Vocabulary, tags_col: str = "tags",
 
 
 def signature_scores(queries: DataFrame, cases: DataFrame, n_tags: int = MASK_BITS) -> DataFrame:
-    """queries, cases: sig, a mask of one number, each once, not 0; tables. q_sig, c_sig, score of all that share a tag."""
+    """queries, cases: sig, a mask of one number, each once, not 0; of tables that may be read twice. q_sig, c_sig, score of all that share a tag."""
     q, c = queries.select(F.col("sig").alias("q_sig")), cases.select(F.col("sig").alias("c_sig"))
     nq, nc = q.count(), c.count()
     if nq * nc <= MAX_PAIRS and min(nq, nc) <= MAX_BROADCAST:
@@ -96,7 +96,7 @@ class SearchIndex:
         vocab = Vocabulary.listed(cases.sparkSession, vocab)
         if vocab.tags is not None:
             kept = written(smallest_ids(signed(cases, vocab).filter("sig <> 0"), k), "search_index")
-            return cls(vocab, k, kept, written(kept.select("sig").distinct(), "search_signatures"))
+            return cls(vocab, k, kept, kept.select("sig").distinct())
         return cls.of_sets(TagSets.of(cases, vocab, "case_id"), vocab, k)
 
     @classmethod
@@ -119,7 +119,7 @@ class SearchIndex:
         if self.vocab.tags is not None:
             # written once: it is counted and joined below
             q = written(signed(queries, self.vocab).filter("sig <> 0").select("query_id", "sig"), "query_signatures")
-            found = signature_scores(written(q.select("sig").distinct(), "asked_signatures"), self.sets, self.vocab.size)
+            found = signature_scores(q.select("sig").distinct(), self.sets, self.vocab.size)
         else:
             sets = TagSets.of(queries, self.vocab, "query_id")
             q, found = sets.members, self.best(sets, k)

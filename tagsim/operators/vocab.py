@@ -39,10 +39,13 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + place).drop("__part", "__before", "__id")
 
 
+def _first_seen(cases: DataFrame, id_col: str, tags_col: str) -> DataFrame:
+    return explode_tags(cases, id_col, tags_col).groupBy("tag").agg(F.min(F.struct(id_col, "pos")).alias("seen"))
+
+
 def build_vocab(cases: DataFrame, id_col: str = "case_id", tags_col: str = "tags") -> DataFrame:
     """tag, idx (long), in the order in which the corpus, by id, shows them first. For vocabularies of any size."""
-    first = explode_tags(cases, id_col, tags_col).groupBy("tag").agg(F.min(F.struct(id_col, "pos")).alias("seen"))
-    return numbered(first, ["seen", "tag"], "idx").select("tag", "idx")
+    return numbered(_first_seen(cases, id_col, tags_col), ["seen", "tag"], "idx").select("tag", "idx")
 
 
 def vocab_list(vocab: DataFrame) -> list[str]:
@@ -70,6 +73,15 @@ class Vocabulary:
         table = written(vocab, "vocabulary")
         return cls(table, table.count(), None)
 
+    @classmethod
+    def of_cases(cls, cases: DataFrame, id_col: str = "case_id", tags_col: str = "tags") -> Vocabulary:
+        """That of build_vocab; of few tags, without a table on the way."""
+        seen = _first_seen(cases, id_col, tags_col)
+        first = seen.limit(MASK_BITS + 1).collect()
+        if len(first) <= MASK_BITS:
+            return cls.listed(cases.sparkSession, [r["tag"] for r in sorted(first, key=lambda r: (*r["seen"], r["tag"]))])
+        return cls.of(numbered(seen, ["seen", "tag"], "idx"))
+
     @classmethod
     def listed(cls, spark: SparkSession, tags: list[str] | Vocabulary) -> Vocabulary:
         """From a list of tags in order; a vocabulary stays as it is."""
@@ -102,9 +114,10 @@ def multi_hot(df: DataFrame, tags: list[str], tags_col: str = "tags", out: str =
     return df.withColumn(out, F.transform(_array(tags), lambda t: F.array_contains(own, t).cast("int")))
 
 
-def tag_mask(df: DataFrame, tags: list[str], tags_col: str = "tags", out: str = "mask") -> DataFrame:
+def tag_mask(df: DataFrame, tags: list[str] | Vocabulary, tags_col: str = "tags", out: str = "mask") -> DataFrame:
     """A bit for each tag of the vocabulary, which has 63 tags at most; tags outside it count for nothing."""
-    if len(tags) > MASK_BITS:
+    tags = tags.tags if isinstance(tags, Vocabulary) else tags
+    if tags is None or len(tags) > MASK_BITS:
         raise ValueError(f"a mask holds {MASK_BITS} tags")
     mask = F.lit(0).cast("long")
     for i, t in enumerate(tags):

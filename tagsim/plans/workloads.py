@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagsim.functions.rules import infer_tags
 from tagsim.operators.relations import graph_edges, graph_nodes, related
 from tagsim.operators.search import SearchIndex, signed
-from tagsim.operators.vocab import Vocabulary, build_vocab
+from tagsim.operators.vocab import Vocabulary
 from tagsim.sources.tables import written
 
 
@@ -28,7 +28,7 @@ class Corpus:
     def of(cls, cases: DataFrame) -> Corpus:
         """cases: with tags."""
         tagged = written(cases.select("case_id", "tags"), "tagged_cases")
-        return cls(cases, tagged, Vocabulary.of(build_vocab(tagged)))
+        return cls(cases, tagged, Vocabulary.of_cases(tagged))
 
     @classmethod
     def from_texts(cls, cases: DataFrame, rules: DataFrame, text_col: str = "problem") -> Corpus:
