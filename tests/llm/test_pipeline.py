@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tagsim.llm.common import stored
 from tagsim.llm.mixing import BLOCK, source_targets
-from tagsim.llm.similar_texts import drop_similar, similar_groups
+from tagsim.llm.similar_texts import drop_similar, similar_groups, tables, wide_fingerprint
 from tests.helpers import SMALL
 from tests.llm.test_native import plain_counts
 from tests.llm.test_near import grouped
@@ -152,6 +153,18 @@ def test_similar_groups_against_all_pairs(spark):
     assert sum(got[a] != got[b] for a, b in pairs) <= 0.02 * len(pairs) and len(pairs) > 5000
 
 
+@pytest.mark.parametrize("n", [2_000, 10**7, 10**9])
+def test_tables_for_any_number_of_texts_find_pairs_of_just_the_similarity(n):
+    """Pairs of 180 shingles each, 160 of them shared."""
+    grid, draw, found = tables(n, 0.8), np.random.default_rng(n), 0
+    for _ in range(600):
+        own = np.unique(draw.integers(0, 1 << 63, 400, dtype=np.uint64))[:200]
+        draw.shuffle(own)
+        a, b = (wide_fingerprint(np.sort(h)) for h in (own[:180], own[20:]))
+        found += any((int(a[w]) ^ int(b[w])) & m % (1 << 64) == 0 for w, m in grid)
+    assert found >= 0.95 * 600
+
+
 def test_similar_groups_of_odd_rows(spark):
     body = " ".join(f"word{i}" for i in range(40))
     rows = [(5, None), (3, ""), (None, body), (7, body.upper()), (7, body.upper()), (9, f"{body} more"), (11, "one two"), (12, "one two three")]
