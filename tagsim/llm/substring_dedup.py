@@ -10,8 +10,8 @@ only among paths of one anchor.
        first of each different path is taken apart into its windows, and windows that occur again are edges of their own.
     3. Nodes get their in- and out-degrees. Edges that meet at a node of degree one in and one out, side by side in the source, are
        compacted by a join into one unitig; repeats of a unitig are one span.
-    4. Spans have their source's coordinates. Neighbours with one source and one distance are spliced, and each span's words are held
-       against its source's. If any differ (equal hashes of different words), all is done again with other hashes.
+    4. Spans have their source's coordinates, and each span's words are held against its source's. If any differ (equal hashes of
+       different words), all is done again with other hashes.
 
 Hashes are sums of random numbers times powers of an odd base, in 64 bits, worked out for many documents at once; paths are compared by
 two of different base, windows by one and half of another."""
@@ -284,7 +284,7 @@ def unitigs(edges: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs: doc (long, each once, in the documents' order), text. doc, spans: array of (first window, windows, source doc, source's first
-    window) that covers exactly the windows of doc that have occurred before, long neighbours spliced."""
+    window) that covers exactly the windows of doc that have occurred before: repeats of the graph's unitigs."""
     paths = repeated_paths(docs, seed)
     place = F.min(F.struct("doc", "at")).alias("source")
     equal = paths.groupBy("anchor", "words").agg(F.count(F.lit(1)).alias("n"), place, F.first("node_a").alias("node_a"), F.first("node_b").alias("node_b"))
@@ -301,43 +301,23 @@ def repeated_spans(docs: DataFrame, seed: int = 0) -> DataFrame:
     lone = lone.selectExpr("doc", "place AS first", "1L AS count", "source_doc", "source")
     compact = equal.filter("n > 1").join(parted, "anchor", "left_anti").selectExpr("node_a", "node_b", "source_doc AS doc", "source_at div 16 AS first", "source_at % 16 + 1 AS count")
     graph = stored(compact.unionByName(again.selectExpr("node_a", "node_b", "source_doc AS doc", "source AS first", "1L AS count")), "substring_graph")
-    told = stored(unitigs(graph).select(F.col("doc").alias("source_doc"), F.col("first").alias("source"), "count", "unitig"), "substring_unitigs")
+    # paths that are taken apart but also repeat as they are: edges that branch inside, so they are not compacted with others
+    branching = equal.filter("n > 1").join(parted, "anchor").selectExpr("source_doc AS doc", "source_at div 16 AS first", "source_at % 16 + 1 AS count", "source_at div 16 AS unitig")
+    told = unitigs(graph).unionByName(branching).groupBy(F.col("doc").alias("source_doc"), F.col("first").alias("source"), "count").agg(F.min("unitig").alias("unitig"))
+    told = stored(told, "substring_unitigs")
     repeats = stored(whole.unionByName(lone), "substring_repeats")
     emptied(paths, equal, parted, wanted, windows, again, graph)
-    # repeats of one unitig at one distance are one span where they lie side by side
-    run = repeats.join(told, ["source_doc", "source", "count"], "left").withColumn("shift", F.col("source") - F.col("first"))
-    run = run.groupBy("doc", "source_doc", "shift", F.coalesce("unitig", "source").alias("unitig")).agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("count")).alias("high"), F.sum("count").alias("sum"), F.collect_list(F.struct("first", "count")).alias("each"))
+    # what the graph has compacted into one unitig is one span wherever it is repeated side by side; an edge that the graph lacks has none
+    run = repeats.join(told, ["source_doc", "source", "count"]).withColumn("shift", F.col("source") - F.col("first"))
+    run = run.groupBy("doc", "source_doc", "shift", "unitig").agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("count")).alias("high"), F.sum("count").alias("sum"), F.collect_list(F.struct("first", "count")).alias("each"))
     each = F.when(F.col("high") - F.col("low") == F.col("sum"), F.array(F.struct(F.col("low").alias("first"), F.col("sum").alias("count")))).otherwise(F.col("each"))
     flat = run.select("doc", "source_doc", "shift", F.explode(each).alias("e")).select("doc", F.struct(F.col("e.first").alias("first"), F.col("e.count").alias("count"), "source_doc", (F.col("e.first") + F.col("shift")).alias("source")).alias("s"))
     # a document's spans are bounded by its own length
-    listed = flat.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("spans"))
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "count", "source_doc", "source")]))
-        for batch in batches:
-            for s in range(0, len(batch), 256):
-                some, out = batch.slice(s, 256), []
-                for spans in some.column("spans"):
-                    rows = np.stack([spans.values.field(c).to_numpy() for c in range(4)], axis=1).tolist()
-                    out.append([dict(zip(("first", "count", "source_doc", "source"), x, strict=True)) for x in spliced(rows)])
-                yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(out, kinds)], names=["doc", "spans"])
-
-    out = stored(listed.mapInArrow(splice, "doc long, spans array<struct<first: long, count: long, source_doc: long, source: long>>"), "substring_spans")
+    out = stored(flat.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("spans")), "substring_spans")
     emptied(told, repeats)
     return out
 
 
-def spliced(spans: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(first window, windows, source doc, source's first window), sorted: neighbours with one source and distance become one."""
-    out: list[tuple[int, int, int, int]] = []
-    for first, count, doc, source in spans:
-        if out and out[-1][2] == doc and first <= out[-1][0] + out[-1][1] and source - first == out[-1][3] - out[-1][0]:
-            out[-1] = (out[-1][0], max(out[-1][1], first + count - out[-1][0]), doc, out[-1][3])
-        else:
-            out.append((first, count, doc, source))
-    return out
-
-
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, doc_id, text, copies. doc is doc_id where that tells the rows apart; else rows are put in the order of (doc_id, text), null
     first, and numbered in it; rows that repeat are one, copies is how many they are."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,12 +15,13 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagsim.llm import mixing, packing, queries, substring_dedup, token_files
 from tagsim.llm.mixing import document_blocks, mix_sources, mix_texts, permuted, shard_counts, source_targets
 from tagsim.llm.packing import Packing, cut_lengths, nnls, pack_documents, packed_sequences
-from tagsim.llm.substring_dedup import op8_substring_dedup, spliced
+from tagsim.llm.substring_dedup import op8_substring_dedup
 from tagsim.llm.token_counts import token_counts
 from tagsim.llm.token_files import PerfectHash, find, keys_of, pack_index, pack_shard, read_token_files, write_token_files
 from tagsim.llm.tokens import count_tokens, encode_bytes
@@ -381,8 +383,19 @@ def test_substrings_of_odd_rows(spark):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
-def test_spliced():
-    assert spliced([(0, 2, 1, 10), (2, 1, 1, 12), (3, 1, 2, 13), (4, 1, 2, 14), (9, 1, 2, 19)]) == [(0, 3, 1, 10), (3, 2, 2, 13), (9, 1, 2, 19)]
+def test_the_graph_decides_the_spans(spark, monkeypatch):
+    """A long passage in two documents is a few spans, as its edges are compacted; edges that are not compacted are a span each; without edges nothing is found."""
+    draw = random.Random(8)
+    own, passage = [[f"w{draw.randrange(10**9)}" for _ in range(n)] for n in (150, 600)]
+    docs = spark.createDataFrame([(1, " ".join(own + passage)), (2, " ".join(passage[:1] + own[:9] + passage)), (3, " ".join(own[::-1]))], "doc long, text string")
+    real, found = substring_dedup.unitigs, {}
+    changed = {"compacted": real, "apart": lambda e: e.select("doc", "first", "count", F.col("first").alias("unitig")), "none": lambda e: real(e).limit(0)}
+    for name, unitigs in changed.items():
+        monkeypatch.setattr(substring_dedup, "unitigs", unitigs)
+        found[name] = [tuple(s) for r in substring_dedup.repeated_spans(docs).collect() for s in r["spans"]]
+    covered = {name: {(w, d, s + w - f) for f, n, d, s in spans for w in range(f, f + n)} for name, spans in found.items()}
+    assert covered["compacted"] == covered["apart"] == {(10 + w, 1, 150 + w) for w in range(581)}
+    assert len(found["compacted"]) <= 3 and len(found["apart"]) > 30 and found["none"] == []
 
 
 def test_verification_sees_a_span_that_differs(spark):
