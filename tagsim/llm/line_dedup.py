@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagsim.llm.common import documents, emptied, row_key, spare_name, stored
-from tagsim.llm.lines import drop_bitmaps, keep_bitmap, kept_text, line_sketch, n_dropped, placed_keys, split_lines
+from tagsim.llm.lines import drop_bitmaps, keep_bitmap, kept_text, n_dropped, placed_keys, split_lines
+from tagsim.llm.text_groups import grouped_units, text_groups, text_unit
 
 #: A key of this many documents is boilerplate.
 MIN_DOCS = 10
@@ -39,15 +40,16 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Fal
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of min_docs documents or more lose all
     their lines; with keep_first, the first line in order of (doc_id, row_key, position) stays. Documents are told apart by id, rows
-    with a null id by their text. With near_once, rows of one sketch (line_sketch) count as one document, so that a group
-    of copies or near copies does not turn its own lines into boilerplate; lines of frequent keys go in all rows. Keys under min_chars
+    with a null id by their text. With near_once, copies and near copies (text_groups) count as one document, so that
+    they do not turn their own lines into boilerplate; lines of frequent keys go in all rows. Keys under min_chars
     code points stay. A null text is one empty line. A null id sorts first. Rows that repeat are one document and get the same
     bitmap. An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
     # hashes are worked out once, in this table; ranges are cut from a sample of it, and its size is known to the joins below
-    unit = line_sketch(F.col("text")) if near_once else F.when(F.col("doc_id").isNull(), F.col("row_key")).otherwise(row_key(F.col("doc_id")))
+    unit = text_unit(F.col("text")) if near_once else F.when(F.col("doc_id").isNull(), F.col("row_key")).otherwise(row_key(F.col("doc_id")))
     lines = placed_keys(own.withColumn("unit", unit), ["doc_id", "row_key", "unit"], min_chars=min_chars)
+    lines = grouped_units(lines, text_groups(own), "unit") if near_once else lines
     lines = stored(lines, "placed_lines")
     hot = stored(streamed_keys(lines, "unit", min_docs), "hot_keys")
     gone = lines.select("row_key", "pos", "h1", "h2").join(hot, ["h1", "h2"])

@@ -20,13 +20,6 @@ def line_key(line: Column) -> Column:
     return ascii_lower(strip(line))
 
 
-def line_sketch(text: Column) -> Column:
-    """One hash of the least and the greatest hash of a text's lines (none if all are blank). Exact copies share it, near copies, which share
-    most lines, mostly do; a line that many texts have does not bring them together by itself, unless they have no other."""
-    keys = F.filter(F.transform(split_lines(text), line_key), lambda k: k != "")
-    return let(F.transform(keys, lambda k: F.xxhash64(k)), lambda h: F.xxhash64(F.array_min(h), F.array_max(h)))
-
-
 def key_hashes(key: Column) -> list[Column]:
     """128 bits of a key, as two columns."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]

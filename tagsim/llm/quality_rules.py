@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsim.llm.common import SPACE, count_words, documents, let, row_key, spare_name, split_words, stored
-from tagsim.llm.lines import distinct_keys, drop_bitmaps, kept_text, key_hashes, line_sketch, line_key, n_dropped, split_lines
+from tagsim.llm.lines import distinct_keys, drop_bitmaps, kept_text, key_hashes, line_key, n_dropped, split_lines
+from tagsim.llm.text_groups import grouped_units, text_groups, text_unit
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -54,13 +55,16 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "content").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
 
 
-def frequent_lines(own: DataFrame, max_share: float, min_texts: int) -> DataFrame:
+def frequent_lines(own: DataFrame, max_share: float, min_texts: int, groups: DataFrame | None = None) -> DataFrame:
     """own: host, content, text. (host, h1, h2, n_docs) of lines that are in more documents of their host than its limit.
 
     Documents are counted, and so are their different contents, and both have to pass: one text that was fetched often does not turn its
-    own lines into boilerplate."""
-    lines = counted(distinct_keys(own, ["host", "content"]), ["host", "h1", "h2"]).filter(F.col("n_texts") >= min_texts)
-    hosts = counted(own.select("host", "content"), ["host"]).select("host", (F.col("n_docs") * max_share).alias("most_docs"), (F.col("n_texts") * max_share).alias("most_texts"))
+    own lines into boilerplate. With groups (text_groups), near copies have one content."""
+    def rows(df: DataFrame) -> DataFrame:
+        return df if groups is None else grouped_units(df, groups, "content")
+
+    lines = counted(rows(distinct_keys(own, ["host", "content"])), ["host", "h1", "h2"]).filter(F.col("n_texts") >= min_texts)
+    hosts = counted(rows(own.select("host", "content")), ["host"]).select("host", (F.col("n_docs") * max_share).alias("most_docs"), (F.col("n_texts") * max_share).alias("most_texts"))
     return lines.join(hosts, "host").filter((F.col("n_docs") > F.col("most_docs")) & (F.col("n_texts") > F.col("most_texts"))).select("host", "h1", "h2", "n_docs")
 
 
@@ -71,14 +75,14 @@ def quality_rules(docs: DataFrame, max_share: float = MAX_SHARE, min_texts: int
     Lines are compared without ASCII white space at their ends, A-Z in lower case, within a host; a null host is a host. A line is
     above the limit in more than max_share of its host's documents, and of its different texts, of which there are min_texts at
     least. A document is depleted if it lost words to such lines and has fewer than 10, or less than min_left of its words, left.
-    Null and empty texts have no words and fail the base rules. With near_once, texts of one sketch (line_sketch) count as one
-    text, so that near copies don't make each other's lines frequent. Rows that repeat count as documents each and get the same
+    Null and empty texts have no words and fail the base rules. With near_once, near copies (text_groups) count as one
+    text, so that they don't make each other's lines frequent. Rows that repeat count as documents each and get the same
     verdict; a null id stays.
     An empty table gives an empty table. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"))
-    own = own.withColumns({"row_key": row_key(F.col("doc_id"), F.col("text"), F.col("host")), "content": line_sketch(F.col("text")) if near_once else row_key(F.col("text"))})
+    own = own.withColumns({"row_key": row_key(F.col("doc_id"), F.col("text"), F.col("host")), "content": text_unit(F.col("text")) if near_once else row_key(F.col("text"))})
     # as a table, its size is known, and a join with it can be split where a line is hot
-    hot = stored(frequent_lines(own, max_share, min_texts), "frequent_lines")
+    hot = stored(frequent_lines(own, max_share, min_texts, text_groups(own) if near_once else None), "frequent_lines")
     placed = own.select("row_key", "host", F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.struct(line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")))).alias("pos", "line"))
     placed = placed.filter(F.length("line.key") > 0).select("row_key", "host", "pos", F.col("line.n").alias("n"), *key_hashes(F.col("line.key")))
     lost = placed.join(hot.drop("n_docs"), ["host", "h1", "h2"]).select("row_key", "pos", "n").distinct()

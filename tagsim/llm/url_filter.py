@@ -69,8 +69,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
 
     listed: a table whose column url holds canonical URLs to block; nulls and repeats in it count for nothing. A rule's verdict
     holds where a rule fits; else a page whose canonical URL is listed is blocked and any other allowed. A null url, or one
-    without ://, has an empty host and path, no canonical URL, and is allowed. Rows that repeat are judged alike; a null id stays.
-    Only the id and the url of pages are read."""
+    without ://, has an empty host and path, no canonical URL, and is allowed. Rows that repeat are judged alike; a null id stays. An empty
+    table gives an empty table. Only the id and the url of pages are read."""
     blocked = stored(listed.select("url").filter(F.col("url").isNotNull()).distinct(), "listed_urls")
     bloom, n_blocks = bloom_filter(blocked, blocked.count())
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
