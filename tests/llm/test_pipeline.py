@@ -263,6 +263,21 @@ def stage_rows(spark, docs) -> int:
     return corpus_pipeline.packing_stage(spark, docs, SMALL).filter("piece = 0").count()
 
 
+def test_stages_take_very_long_texts(spark):
+    """Texts of 200,000 different words, of one word of 2,000,000 letters and of 30,000 lines; the second one is a near copy of the first."""
+    words = [f"w{i}" for i in range(200_000)]
+    lines = "\n".join(f"l{i} a{i} b{i} c{i}" for i in range(30_000))
+    texts = [" ".join(words), " ".join([*words[:100_000], "changed", *words[100_001:]]), "y" * 2_000_000 + " and a few words that follow the very long one here", lines]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stored(stage(spark, docs, SMALL), f"test_long_{name}")
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == {i: t for i, t in enumerate(texts) if i != 1}
+    mixed = stored(corpus_pipeline.mixing_stage(spark, docs, SMALL), "test_long_mixed")
+    packed = corpus_pipeline.packing_stage(spark, mixed, SMALL).collect()
+    assert packed and max(r["length"] for r in packed) <= 2048 and before.count() == 4
+
+
 def test_run_gives_the_last_stages_rows(spark, steps):
     keep = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert Counter(tuple(r[c] for c in keep) for r in corpus_pipeline.run(spark, SMALL).collect()) == Counter(tuple(r[c] for c in keep) for r in steps[5])

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -302,6 +303,55 @@ def test_mix_query_takes_what_a_plain_version_takes(spark):
     assert got == expected
 
 
+def rule_targets(sizes: list[int]) -> list[Fraction]:
+    """The rule of the targets, written out: weights 5, 2, 1 in turn share the sum of all sizes; a source stops at 3 times its size, and the others share the rest by weight."""
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    stopped: set[int] = set()
+    while True:
+        rest = Fraction(sum(sizes) - 3 * sum(sizes[i] for i in stopped))
+        shared = sum(weight[i] for i in range(len(sizes)) if i not in stopped)
+        target = [Fraction(3 * x) if i in stopped else rest * weight[i] / shared for i, x in enumerate(sizes)]
+        above = {i for i in range(len(sizes)) if target[i] > 3 * sizes[i]}
+        if not above:
+            return target
+        stopped |= above
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 10**12)), min_size=1, max_size=12))
+def test_targets_follow_the_rule(sizes):
+    assert source_targets(sizes) == pytest.approx([float(t) for t in rule_targets(sizes)], rel=1e-9, abs=1e-6)
+
+
+def test_mix_query_has_the_targets_of_the_rule(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    size = Counter()
+    for r in docs:
+        size[r["source"]] += len(plain_words(r["text"]))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, rule_targets([size[s] for s in names]), strict=True))
+    taken: Counter = Counter()
+    for r in queries.QUERIES["op10_mix_sources"](spark, SMALL).collect():
+        assert r["target"] == pytest.approx(float(want[r["source"]])) if "source" in r.asDict() else True
+        assert r["taken"] <= 3 * r["size"] and r["source_size"] in size.values()
+        taken[r["source_size"]] += r["taken"]
+    for s in names:
+        if list(size.values()).count(size[s]) == 1:
+            assert abs(taken[size[s]] - float(want[s])) <= 4 * mixing.BLOCK
+
+
+def test_mix_takes_very_long_texts(spark):
+    rows = [(1, " ".join(f"l{i}" for i in range(300_000)), "a"), (2, "x" * 3_000_000, "a"), (3, "short text here", "b"), (4, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, plan, uses = mix_sources(docs)
+    assert {(r["doc_id"], r["size"]) for r in placed.collect()} == {(1, 300_000), (2, 1), (3, 3), (4, 0)}
+    blocks = {(r["source_no"], r["block"]): r["n"] for r in uses.collect()}
+    want = sum(len(range(b * 256, min((b + 1) * 256, 300_001))) * n for (s, b), n in blocks.items() if s == 0) + sum(3 * n for (s, b), n in blocks.items() if s == 1)
+    mixed = mix_texts(docs).collect()
+    assert sum(len(plain_words(r["text"])) for r in mixed) == want
+    assert {r["doc_id"] for r in mixed} <= {1, 2, 3}
+
+
 def test_mix_texts_keep_columns_of_any_name_and_tell_rows_apart(spark):
     rows = [(1, "a b c", "s", i % 2, None, {"x": 1}) for i in range(6)] + [(2, None, "s", 1, "y", None), (3, "", None, 1, "y", None), (None, "d e", None, 2, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int, key string, mix_key map<string, int>")
