@@ -42,8 +42,9 @@ def sketch_similarity(a: Column, b: Column) -> Column:
 
 def text_groups(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """unit, text_group: texts that stand for another one, with that one's unit; other texts have no row. Null texts and texts without words stand for themselves."""
-    own = docs.select(text_unit(F.col(text_col)).alias("unit"), shingle_sketch(F.col(text_col)).alias("sketch")).filter(F.size("sketch") > 0)
-    own = stored(own.groupBy("unit").agg(F.first("sketch").alias("sketch")), "text_sketches")
+    own = docs.select(text_unit(F.col(text_col)).alias("unit"), shingle_sketch(F.col(text_col)).alias("sketch")).groupBy("unit").agg(F.first("sketch").alias("sketch"))
+    # filtered as a table: a filter on what is worked out would work it out twice
+    own = stored(own, "text_sketches").filter(F.size("sketch") > 0)
     single = F.slice("sketch", 1, SINGLE)
     several = F.array(*[F.xxhash64(F.lit(n), F.slice("sketch", 1, n)) for n in SEVERAL])
     met = own.select("unit", "sketch", F.explode(F.concat(single, several)).alias("meeting"))
