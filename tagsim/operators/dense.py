@@ -141,23 +141,23 @@ def embedding_top_k(queries: DataFrame, vectors: DataFrame, k: int = 6, id_col:
     The base lies in cells around pivots, which are written once. A query first goes to the nearest cells; the k-th best score found there is a bound, and then it
     goes only to those other cells whose distance and radius leave room for a vector at the bound. In data without clusters those may be all. Vectors
     that are null, empty or zero, or hold null or non-finite components, and those of another length than the query's, match nothing."""
-    asked = written(_usable(queries, id_col, vec_col), "dense_queries")
-    own = _usable(vectors, id_col, vec_col)
+    asked, own = _usable(queries, id_col, vec_col), _usable(vectors, id_col, vec_col)
     n = cells or max(1, min(MAX_CELLS, own.count() // CELL))
-    pivots = _pivots(own, n)
-    base = written(_celled(own, pivots), "dense_cells")
-    sizes: dict[int, dict[int, tuple[int, float]]] = {}
-    for r in base.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
-        sizes.setdefault(r["dim"], {})[r["cell"]] = (r["n"], r["radius"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def cut(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
+    if n == 1:
+        # each query goes everywhere
+        return cut(_multiplied(*[df.withColumn("cell", F.lit(0)) for df in (asked, own)], k, places))
+    asked, pivots = written(asked, "dense_queries"), _pivots(own, n)
+    base = written(_celled(own, pivots), "dense_cells")
+    sizes: dict[int, dict[int, tuple[int, float]]] = {}
+    for r in base.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
+        sizes.setdefault(r["dim"], {})[r["cell"]] = (r["n"], r["radius"])
     first = written(cut(_multiplied(written(_sent(asked, pivots, sizes, k, places), "dense_near"), base, k, places)), "dense_first")
     bound = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    if all(len(c) == 1 for c in sizes.values()):
-        return first  # each query has gone everywhere
     # without k results any positive score may be one
     again = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     far = written(_sent(again, pivots, sizes, k, places), "dense_far")

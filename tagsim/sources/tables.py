@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -60,8 +61,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 #: The temporary folder of each local session that names no shared one.
 _local: dict[str, str] = {}
-#: Paths of the scopes that are open, innermost last.
-_scopes: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """Paths of the scopes that are open in this thread, innermost last. Batches of a stream run in threads of their own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -81,8 +90,8 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the innermost open scope owns it."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
@@ -94,14 +103,14 @@ def removed(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Owns the tables that are written on the way inside it, and removes them at its end, also after an error. Results are lazy and read such
+    """Owns the tables that its thread writes on the way inside it, and removes them at its end, also after an error. Results are lazy and read such
     tables: use them, or write them, inside the scope. A scope within a scope owns its own."""
     made: list[str] = []
-    _scopes.append(made)
+    _scopes.open.append(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.open.pop()
         for path in made:
             removed(spark, path)
 

@@ -63,8 +63,7 @@ def named(by: dict[int, set[str]]) -> dict[frozenset, int]:
     return {frozenset(t): i for i, t in sorted(by.items(), reverse=True) if t}
 
 
-@pytest.mark.parametrize("threshold", [0.35, 0.6, 0.8, 1.0])
-@pytest.mark.parametrize("heavy", [20_000, 5])
+@pytest.mark.parametrize(("threshold", "heavy"), [(0.35, 20_000), (0.6, 5), (0.8, 20_000), (1.0, 5)])
 def test_similar_sets_are_those_of_all_pairs_with_far_fewer_candidates(spark, corpus, monkeypatch, threshold, heavy):
     monkeypatch.setattr(sets, "HEAVY", heavy)
     by, _, _, own = corpus
@@ -147,7 +146,7 @@ def test_split_scores_are_plain_scores(spark):
         assert {(r["query_id"], r["case_id"]): r["score"] for r in got.collect()} == plain
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400))), min_size=1, max_size=20))
 def test_masks_of_words(spark, pairs):
     known = Vocabulary.listed(spark, [f"t{i}" for i in range(401)])
