@@ -25,13 +25,21 @@ def mask_cosine(a: Column, b: Column) -> Column:
     return ratio(F.bit_count(a.bitwiseAND(b)), F.bit_count(a), F.bit_count(b))
 
 
+def set_cosine(a: Column, b: Column) -> Column:
+    """Of two tag sets, as arrays of tag numbers without repeats."""
+    return ratio(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+
+
 def word_cosine(a: Column, b: Column) -> Column:
     """Of two tag sets, as masks of several 64-bit words: arrays of (word, bits)."""
     def size(mask: Column) -> Column:
         return F.aggregate(mask, F.lit(0), lambda n, w: n + F.bit_count(w["bits"]))
 
-    shared = F.aggregate(a, F.lit(0), lambda n, w: n + F.coalesce(F.bit_count(F.get(F.filter(b, lambda v: v["word"] == w["word"]), F.lit(0))["bits"].bitwiseAND(w["bits"])), F.lit(0)))
-    return ratio(shared, size(a), size(b))
+    def shared(both: Column) -> Column:
+        return F.aggregate(both["a"], F.lit(0), lambda n, w: n + F.coalesce(F.bit_count(F.try_element_at(both["b"], w["word"]).bitwiseAND(w["bits"])), F.lit(0)))
+
+    # the map is made once for each pair, not once for each word
+    return ratio(F.transform(F.array(F.struct(a.alias("a"), F.map_from_entries(b).alias("b"))), shared)[0], size(a), size(b))
 
 
 def match_pct(score: Column) -> Column:

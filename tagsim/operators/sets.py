@@ -1,7 +1,7 @@
 """Joins of tag sets over vocabularies of any size.
 
-Each different set is a signature with a number; joins and windows see numbers only, and the set itself, a mask of several 64-bit words, is looked up for
-the few pairs that are left at the end. Which pairs those are is told by filters on single tags:
+Each different set is a signature with a number; joins and windows see numbers only, and the set itself, kept as a mask of several 64-bit words, is looked up for
+the pairs that are left at the end. Which pairs those are is told by filters on single tags:
 
 - a set's tags are ordered by how many sets have them, rarest first, in the same order for all sets;
 - two sets of a score of at least t share `t * sqrt(|a| |b|)` tags. So the first tag that they share lies among the first `|a| - share + 1` tags
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsim.functions.similarity import ratio, word_cosine
+from tagsim.functions.similarity import ratio, set_cosine
 from tagsim.operators.vocab import MAX_BROADCAST, Vocabulary, tag_words, word_tags
 from tagsim.sources.tables import written
 
@@ -133,11 +133,12 @@ def similar_candidates(sets: TagSets, threshold: float) -> DataFrame:
 
 
 def scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """pairs: a_sig, b_sig; a, b: sig, mask. With score, of the masks themselves. They are sent to the pairs where they are few."""
+    """pairs: a_sig, b_sig; a, b: sig, mask. With score. A set's tag numbers are taken out of its mask once, and meet by hash; they are sent to the pairs where the
+    sets are few."""
     for end, table in (("a", a), ("b", b)):
-        own = table.select(F.col("sig").alias(f"{end}_sig"), F.col("mask").alias(f"{end}_mask"))
+        own = table.select(F.col("sig").alias(f"{end}_sig"), word_tags(F.col("mask")).alias(f"{end}_tags"))
         pairs = pairs.join(F.broadcast(own) if table.count() <= MAX_BROADCAST // 10 else own, f"{end}_sig")
-    return pairs.withColumn("score", word_cosine(F.col("a_mask"), F.col("b_mask"))).drop("a_mask", "b_mask")
+    return pairs.withColumn("score", set_cosine(F.col("a_tags"), F.col("b_tags"))).drop("a_tags", "b_tags")
 
 
 def similar_sets(sets: TagSets, threshold: float) -> DataFrame:
