@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import ROW_KEY, emptied, row_key, stored
+from tagsim.llm.common import ROW_KEY, row_key, stored
 from tagsim.llm.page_tree import Page
 from tagsim.llm.url_filter import url_host
 
