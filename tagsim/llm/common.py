@@ -77,6 +77,21 @@ def row_key(*cols: Column) -> Column:
 #: Its type.
 ROW_KEY = "struct<a: long, b: long>"
 
+#: Copies of a row that go through a window or to a task as one row.
+RUN = 1024
+
+
+def copy_runs(rows: DataFrame) -> DataFrame:
+    """rows: copies (how often a row stands for itself, 1 at least) and others. Each row as runs of RUN copies at most: run (from 0), and copies of the run.
+    Where `run` is part of the key that deals rows to tasks, a row that repeats any number of times is spread over them."""
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {RUN}"))))
+    return runs.withColumn("copies", F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("run") * RUN))
+
+
+def each_copy(runs: DataFrame) -> DataFrame:
+    """One row for each copy of copy_runs: `of_run`, its number in the run from 0."""
+    return runs.withColumn("of_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+
 
 def spare_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it: one that no column of df has."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import count_words, documents, row_key, spare_name, split_words, stored
+from tagsim.llm.common import RUN, copy_runs, count_words, documents, each_copy, row_key, spare_name, split_words, stored
 
 #: Weights of the sources in order of code points, repeating; most uses of a source's words.
 WEIGHTS = (5, 2, 1)
@@ -95,8 +95,8 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 
 def source_table(sized: DataFrame, weights=WEIGHTS, block: int = BLOCK, share: float = 1.0) -> list[dict]:
-    """sized: source, size. The sources in order of code points, null last, with size, target, n_blocks, n_slots."""
-    rows = [(r["source"], int(r["size"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()]
+    """sized: source, size, copies. The sources in order of code points, null last, with size, target, n_blocks, n_slots."""
+    rows = [(r["source"], int(r["size"])) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).limit(MAX_SOURCES + 1).collect()]
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -137,20 +137,24 @@ def mix_plan(spark: SparkSession, sources: list[dict], seed: int = 0, per_shard:
 
 
 def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """sized: source, size and others. With source_no, and the document's first word's place `begin` among its source's words.
+    """sized: source, size, copies and others. One row for each copy, numbered by `turn` from 0, with source_no, and its first word's
+    place `begin` among its source's words.
 
-    The order within a source is (bucket, doc_id, row_key), bucket being a hash of the row; a source of any size is spread over the
-    buckets, whose sums are added up by source first."""
+    The order within a source is (bucket, doc_id, row_key, run), bucket being a hash of the row and its run of copies; a source of any
+    size, and a document that repeats any number of times, is spread over the buckets, whose sums are added up by source first."""
     own = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    own = own.withColumn("bucket", F.pmod(F.col("row_key.a"), F.lit(BUCKETS)).cast("int"))
-    sums = own.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+    own = copy_runs(own).withColumn("words", F.col("size") * F.col("copies"))
+    own = own.withColumn("bucket", F.pmod(F.pmod(F.col("row_key.a"), F.lit(BUCKETS)) + F.col("run"), F.lit(BUCKETS)).cast("int"))
+    sums = own.groupBy("source_no", "bucket").agg(F.sum("words").alias("words"))
     starts = sums.select("source_no", "bucket", (F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).alias("bucket_begin"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "row_key", *[c for c in own.columns if c == "turn"]).rowsBetween(Window.unboundedPreceding, 0)
-    return own.withColumn("within", F.sum("size").over(inside) - F.col("size")).join(starts, ["source_no", "bucket"]).withColumn("begin", F.col("bucket_begin") + F.col("within")).drop("bucket_begin", "within", "bucket")
+    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "row_key", "run").rowsBetween(Window.unboundedPreceding, 0)
+    runs = own.withColumn("within", F.sum("words").over(inside) - F.col("words")).join(starts, ["source_no", "bucket"])
+    placed = each_copy(runs).withColumns({"turn": F.col("run") * RUN + F.col("of_run"), "begin": F.col("bucket_begin") + F.col("within") + F.col("of_run") * F.col("size")})
+    return placed.drop("bucket_begin", "within", "bucket", "words", "run", "of_run", "copies")
 
 
 def mix_sizes(own: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int = 0, share: float = 1.0, per_shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """own: doc_id, source, row_key, size and others, as a table that reads the same each time. As mix_sources."""
+    """own: doc_id, source, row_key, size, copies and others, as a table that reads the same each time. As mix_sources."""
     spark = own.sparkSession
     found = source_table(own, weights, block, share)
     table = spark.createDataFrame([(s["source_no"], s["source"], s["source_size"], s["target"]) for s in found], "source_no int, source string, source_size long, target double")
@@ -163,13 +167,15 @@ def mix_sizes(own: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int = 0
 def mix_sources(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed: int = 0, share: float = 1.0, per_shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, plan, uses).
 
-    documents: doc_id, row_key, size, source, source_no, source_size, target, begin, for each row of docs; its words are the words
-    begin .. begin + size of its source. plan: shard, slot, source_no, block, epoch; block b of a source is its words
+    documents: doc_id, row_key, turn, size, source, source_no, source_size, target, begin, for each row of docs; its words are the words
+    begin .. begin + size of its source; turn numbers rows that repeat. plan: shard, slot, source_no, block, epoch; block b of a source is its words
     block * b .. block * (b + 1). uses: source_no, block, n, for each block that is used.
 
     A null text has no words and a source without words has a target of 0; a null source is a source, the last. Rows that repeat
     are documents of their own. An empty table gives empty tables. Other columns of docs aren't read."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), row_key(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_key"), count_words(F.col(text_col)).alias("size"))
+    # rows that repeat are one row with their number, so that they don't all meet in one bucket
+    own = own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("copies"))
     return mix_sizes(stored(own, "mix_sizes"), weights, block, seed, share, per_shard)
 
 
@@ -194,7 +200,7 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK, id_col: str =
     keyed = docs.withColumn(key, row_key(*plain))
     # equal rows are one row with their number, which a hot row's partial counts bring together before the shuffle
     numbers = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.first(id_col).alias("id"), F.first(F.col(source_col).cast("string")).alias("source"), F.first(count_words(F.col(text_col))).alias("size")), "mix_rows")
-    rows = numbers.select(F.col(key).alias("row_key"), F.col("id").alias("doc_id"), "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("turn"))
+    rows = numbers.select(F.col(key).alias("row_key"), F.col("id").alias("doc_id"), "source", "size", "copies")
     placed, _, uses = mix_sizes(rows, seed=seed, block=block)
     cut = document_blocks(placed, block).join(uses, ["source_no", "block"])
     # a document's spans are bounded by its own length
@@ -215,6 +221,6 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK, id_col: str =
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _, uses = mix_sources(documents(spark, sf_dir))
     placed = stored(placed, "mix_documents")
-    taken = document_blocks(placed).join(uses, ["source_no", "block"]).groupBy("row_key", "begin").agg(F.sum(F.col("length") * F.col("n")).alias("taken"))
-    joined = placed.join(taken, ["row_key", "begin"], "left")
+    taken = document_blocks(placed).join(uses, ["source_no", "block"]).groupBy("row_key", "turn").agg(F.sum(F.col("length") * F.col("n")).alias("taken"))
+    joined = placed.join(taken, ["row_key", "turn"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

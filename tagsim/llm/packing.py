@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagsim.llm.common import documents, stored
+from tagsim.llm.common import copy_runs, documents, each_copy, stored
 from tagsim.llm.tokens import encode_bytes
 
 MAX_TOKENS = 2048
@@ -247,18 +247,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, cap
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
-    """pieces: doc_id, piece, start, length, ids_crc32 and others, as a table that reads the same each time. With sequence_id and offset.
+    """pieces: doc_id, piece, start, length, ids_crc32, copies (how often the row stands for itself) and others, as a table that reads the
+    same each time. One row for each copy, with sequence_id and offset.
 
-    Lengths are from 1 to capacity. A length of which there is any number of pieces is dealt into BUCKETS parts by a hash of the piece;
-    pieces are ranked within a part, and parts by their counts."""
+    Lengths are from 1 to capacity. A length of which there is any number of pieces is dealt into BUCKETS parts by a hash of the piece
+    and its run of copies; pieces are ranked within a part, and parts by their counts."""
     by = ["length", "bucket"]
-    own = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = stored(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "pack_counts")
+    own = copy_runs(pieces).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "run"), F.lit(BUCKETS)).cast("int"))
+    counts = stored(own.groupBy(*by).agg(F.sum("copies").alias("n")), "pack_counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     keys, entries = Packing(histogram, capacity).table()
     base = counts.select(*by, (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "piece", "ids_crc32")) - 1).join(base, by)
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
+    inside = Window.partitionBy(*by).orderBy("doc_id", "piece", "ids_crc32", "start", "run").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = own.withColumn("before", F.sum("copies").over(inside) - F.col("copies")).join(base, by)
+    ranked = each_copy(ranked).withColumn("rank", F.col("base") + F.col("before") + F.col("of_run")).drop("base", "before", "of_run", "run", "copies", "bucket")
     kept = [c for c in ranked.columns if c != "rank"]
     types = dict(ranked.dtypes)
 
@@ -277,7 +279,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, c
 
     A null text is empty and has its end id alone; a null id stays. Rows that repeat are packed each. An empty table gives an empty
     table. Other columns of docs aren't read."""
-    pieces = stored(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids, id_col, text_col), "pack_pieces")
+    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, with_ids, id_col, text_col)
+    # rows that repeat are one row with their number, so that they don't all meet in one bucket
+    pieces = stored(pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("copies")), "pack_pieces")
     return pack_pieces(pieces, capacity)
 
 

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagsim.llm import mixing, packing, queries, substring_dedup, token_files
+from tagsim.llm import common, mixing, packing, queries, substring_dedup, token_files
 from tagsim.llm.mixing import document_blocks, mix_sources, mix_texts, permuted, shard_counts, source_targets
 from tagsim.llm.packing import Packing, cut_lengths, nnls, pack_documents, packed_sequences
 from tagsim.llm.substring_dedup import op8_substring_dedup
@@ -325,19 +325,41 @@ def test_targets_follow_the_rule(sizes):
 
 def test_mix_query_has_the_targets_of_the_rule(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    size = Counter()
+    size, source = Counter(), {r["doc_id"]: r["source"] for r in docs}
     for r in docs:
         size[r["source"]] += len(plain_words(r["text"]))
     names = sorted(size, key=lambda s: (s is None, s or ""))
     want = dict(zip(names, rule_targets([size[s] for s in names]), strict=True))
     taken: Counter = Counter()
     for r in queries.QUERIES["op10_mix_sources"](spark, SMALL).collect():
-        assert r["target"] == pytest.approx(float(want[r["source"]])) if "source" in r.asDict() else True
-        assert r["taken"] <= 3 * r["size"] and r["source_size"] in size.values()
-        taken[r["source_size"]] += r["taken"]
+        s = source[r["doc_id"]]
+        assert r["target"] == pytest.approx(float(want[s])) and r["source_size"] == size[s] and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
     for s in names:
-        if list(size.values()).count(size[s]) == 1:
-            assert abs(taken[size[s]] - float(want[s])) <= 4 * mixing.BLOCK
+        assert abs(taken[s] - float(want[s])) <= 4 * mixing.BLOCK
+
+
+def test_a_row_that_repeats_is_spread_over_the_buckets(spark):
+    """5,000 copies of a row, of null and of real ids: every copy has its place, and no bucket gets more than a few runs of them."""
+    n = 5000
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source"))
+    docs = same.unionByName(same.withColumn("doc_id", F.lit(7).cast("long"))).unionByName(spark.createDataFrame([(8, "x " * 900, "a"), (9, None, "a"), (10, "y", "b")], "doc_id long, text string, source string"))
+    placed = mixing.mix_sources(docs)[0].collect()
+    spans = sorted((r["begin"], r["size"]) for r in placed if r["source"] == "a" and r["size"])
+    assert len(placed) == 2 * n + 3 and spans[-1][0] + spans[-1][1] == 4 * n + 900 and all(a + s == b for (a, s), (b, _) in zip(spans, spans[1:], strict=False))
+    for doc_id in (None, 7):
+        assert sorted(r["turn"] for r in placed if r["doc_id"] == doc_id) == list(range(n))
+    packed = pack_documents(docs, BYTES).collect()
+    assert Counter(r["doc_id"] for r in packed) == Counter({None: n, 7: n, 8: 1, 9: 1, 10: 1})
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + s == b for (a, s), (b, _) in zip(parts, parts[1:], strict=False)) and sum(s for _, s in parts) <= 2048
+    assert len(by) <= -(-sum(r["length"] for r in packed) // 2048) * 1.03 + 2
+    runs = common.copy_runs(docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("copies"))).collect()
+    assert sum(r["copies"] for r in runs) == 2 * n + 3 and max(r["copies"] for r in runs) <= common.RUN and len(runs) == 2 * -(-n // common.RUN) + 3
 
 
 def test_mix_takes_very_long_texts(spark):
