@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsim.llm.common import ROW_KEY, emptied, row_key, spare_name, stored
@@ -29,7 +29,7 @@ SEED = 42
 WORDS = 4
 #: Share of pairs at the similarity that all tables of the grid may miss.
 MISS = 0.03
-#: Unrelated texts in a cell: 2 to this power. A cell of twice as many rows is handled by pivots first.
+#: Unrelated texts in a cell: 2 to this power. Texts of a cell of twice as many rows are handled by pivots and rare shingles.
 SPARE_BITS = 5
 #: Increments of the hashes of the fingerprint's second, third and fourth word.
 STEP = 0x9E3779B97F4A7C15
@@ -129,12 +129,44 @@ def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def crowded_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """sets: node, hashes (different, ascending); parts: node, component. Pairs (a, b), each once, of nodes that aren't of one component, among which
+    are all that are similar.
+
+    Similar sets share one of the rarest of each: those left when a share `similarity` of a set is taken away, and one more. Texts of
+    a large group that are less alike differ in just their rare shingles, so they don't meet, and pairs of a shingle's largest component are not formed."""
+    asked = stored(sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle")), "similar_shingles")
+    # what one set alone has comes first and meets nothing
+    shared = stored(asked.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "similar_shared")
+    of_node = Window.partitionBy("node")
+    ranked = asked.join(shared, "shingle").withColumn("own", F.col("n") - F.count(F.lit(1)).over(of_node)).withColumn("place", F.col("own") + F.row_number().over(of_node.orderBy("rows", "shingle")))
+    rarest = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    rare = ranked.filter(F.col("place") <= rarest).select("node", "n", "shingle", F.col("place").cast("int").alias("place"))
+    rare = stored(rare.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "similar_rare")
+    largest = rare.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("rows")).groupBy("shingle").agg(F.max_by("part", F.struct("rows", "part")).alias("part"))
+    largest = stored(largest, "similar_largest")
+    main = stored(rare.join(largest, ["shingle", "part"], "left_semi"), "similar_main")
+    rest = stored(rare.join(largest, ["shingle", "part"], "left_anti"), "similar_rest")
+    emptied(asked, rare)
+
+    def ends(df: DataFrame, end: str) -> DataFrame:
+        return df.select("shingle", F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "part", "place")))
+
+    # at the first shingle that two similar sets share, what is left of either from there on is enough to be similar
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    able = (left * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6) & (F.col("part_a") != F.col("part_b"))
+    one = ends(rest, "a").join(ends(rest, "b"), "shingle").filter(able & (F.col("a") > F.col("b"))).select("a", "b")
+    two = ends(rest, "a").join(ends(main, "b"), "shingle").filter(able).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return one.unionByName(two).distinct()
+
+
 def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, size: int = SIZE) -> DataFrame:
     """items: node, n, f0 to f3, each node once; texts_of: from a table of nodes to node, text, for those nodes. Links (a, b) of similar texts that
     join the same texts as all pairs that share a cell do.
 
-    Cells of many rows, where a large group of near copies lies, are compared with four pivots first, and the pairs of the cell's largest
-    component so found are never formed. The pivots are least or greatest by hashes that hold for all cells, so a group has few."""
+    Texts of cells of many rows, where a large group of near copies lies, are compared with four pivots of the cell first; the pivots are least
+    or greatest by hashes that hold for all cells, so a group has few. Among each other such texts then meet by their rare shingles (`crowded_pairs`),
+    which leaves out none that are similar, instead of in cells."""
     if not 0 < similarity < 1:
         raise ValueError("similarity must lie between 0 and 1")
     p = differing_share(similarity)
@@ -143,14 +175,18 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     items = items.filter(F.col("n") * (1 - similarity) >= similarity - 1e-9)
     grid = tables(items.count(), similarity)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b; repeats allowed) whose sets of shingles are similar."""
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b; repeats allowed), each once, that fit by all bits and by size."""
         pairs = pairs.distinct()
         for end in ("a", "b"):
             pairs = pairs.join(items.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *(F.col(f"f{w}").alias(f"{end}{w}") for w in range(WORDS))), end)
         total = sum((_far(f"a{w}", f"b{w}") for w in range(1, WORDS)), _far("a0", "b0"))
         sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
-        pairs = stored(pairs.filter((total <= most[1]) & sized).select("a", "b"), "similar_candidates")
+        return pairs.filter((total <= most[1]) & sized).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sets of shingles are similar."""
+        pairs = stored(pairs, "similar_candidates")
         nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "similar_nodes")
         sets = stored(_shingle_sets(texts_of(nodes), size), "similar_sets")
         for end in ("a", "b"):
@@ -158,32 +194,29 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         both = F.size(F.array_intersect("h_a", "h_b"))
         return pairs.filter(both >= (F.size("h_a") + F.size("h_b") - both) * similarity).select("a", "b")
 
-    members = _cells(items, grid)
-    hot = stored(members.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > (2 << SPARE_BITS)), "similar_hot")
-    crowded = stored(members.join(hot, "cell", "left_semi"), "similar_crowded")
+    homes = stored(_cells(items, grid), "similar_homes")
+    hot = stored(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > (2 << SPARE_BITS)), "similar_hot")
+    in_hot = stored(homes.join(hot, "cell", "left_semi"), "similar_in_hot")
     pivot = [F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "check") for k in range(2)]
-    pivots = stored(crowded.groupBy("cell").agg(F.array_distinct(F.array(F.min(pivot[0]), F.max(pivot[0]), F.min(pivot[1]), F.max(pivot[1]))).alias("p")), "similar_pivots")
-    first = crowded.join(pivots, "cell").select("node", "check", F.explode("p").alias("p")).filter((F.col("node") != F.col("p.node")) & (_far("check", "p.check") <= most[0]))
-    first = stored(verified(first.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))), "similar_pivot_links")
-    parts = components(first, "similar_parts")
-    # part: the component of a text that isn't its least node; without a part a text is compared with all, so that most rows stay narrow
-    labelled = items.join(parts, "node", "left").withColumn("part", F.when(F.col("component") != F.col("node"), F.col("component")))
-    labelled = stored(labelled.drop("component", "n"), "similar_labelled")
-    sizes = crowded.select("cell", "node").join(parts, "node").groupBy("cell", "component").agg(F.count(F.lit(1)).alias("rows"))
-    largest = stored(sizes.groupBy("cell").agg(F.max_by("component", F.struct("rows", "component")).alias("part")), "similar_largest")
-    # as a table, as three sides of the joins below read it
-    placed = stored(_cells(labelled, grid, "part"), "similar_placed")
-    main = stored(placed.join(largest, ["cell", "part"], "left_semi"), "similar_main")
-    rest = placed.join(largest, ["cell", "part"], "left_anti")
+    pivots = stored(in_hot.groupBy("cell").agg(F.array_distinct(F.array(F.min(pivot[0]), F.max(pivot[0]), F.min(pivot[1]), F.max(pivot[1]))).alias("p")), "similar_pivots")
+    first = in_hot.join(pivots, "cell").select("node", "check", F.explode("p").alias("p")).filter((F.col("node") != F.col("p.node")) & (_far("check", "p.check") <= most[0]))
+    first = stored(verified(near(first.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))), "similar_pivot_links")
+    crowded = stored(in_hot.select("node").distinct(), "similar_crowded")
+    sets = stored(_shingle_sets(texts_of(crowded), size), "similar_crowded_sets")
+    among = crowded_pairs(sets, components(first, "similar_parts"), similarity)
 
-    def ends(df: DataFrame, end: str) -> DataFrame:
-        return df.select("cell", F.col("node").alias(end), F.col("part").alias(f"part_{end}"), F.col("check").alias(f"check_{end}"))
+    placed = stored(homes.join(crowded.withColumn("is_crowded", F.lit(True)), "node", "left").withColumn("is_crowded", F.col("is_crowded").isNotNull()), "similar_placed")
 
-    apart = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True)) & (_far("check_a", "check_b") <= most[0])
-    one = ends(rest, "a").join(ends(rest, "b"), "cell").filter(apart & (F.col("a") > F.col("b"))).select("a", "b")
-    two = ends(rest, "a").join(ends(main, "b"), "cell").filter(apart).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    found = stored(verified(one.unionByName(two)), "similar_links")
-    emptied(placed, main, crowded, labelled)
+    def ends(df: DataFrame, end: str) -> DataFrame:
+        return df.select("cell", F.col("node").alias(end), F.col("check").alias(f"check_{end}"))
+
+    # crowded texts meet each other by their shingles alone
+    close = (F.col("a") > F.col("b")) & (_far("check_a", "check_b") <= most[0])
+    one = ends(placed.filter("NOT is_crowded"), "a").join(ends(placed, "b"), "cell").filter(close)
+    two = ends(placed.filter("is_crowded"), "a").join(ends(placed.filter("NOT is_crowded"), "b"), "cell").filter(close)
+    found = near(one.unionByName(two).select("a", "b"))
+    found = stored(verified(found.unionByName(among)), "similar_links")
+    emptied(homes, in_hot, placed, sets)
     return first.unionByName(found)
 
 

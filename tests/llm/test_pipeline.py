@@ -10,9 +10,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tagsim.llm import similar_texts
 from tagsim.llm.common import stored
 from tagsim.llm.mixing import BLOCK, source_targets
-from tagsim.llm.similar_texts import drop_similar, similar_groups, tables, wide_fingerprint
+from tagsim.llm.similar_texts import crowded_pairs, drop_similar, similar_groups, tables, wide_fingerprint
 from tests.helpers import SMALL
 from tests.llm.test_native import plain_counts
 from tests.llm.test_near import grouped
@@ -209,6 +210,51 @@ def test_tables_for_any_number_of_texts_find_pairs_of_just_the_similarity(n):
     assert found >= 0.95 * 600
 
 
+def test_a_large_group_just_less_alike_makes_few_candidates(spark, monkeypatch):
+    """300 texts of a similarity of about 0.7 to each other, and 40 of them with a copy of a few edits: what is checked does not grow with the group's square."""
+    draw = np.random.default_rng(5)
+    base = [f"base{i}" for i in range(200)]
+    texts = []
+    for k in range(300):
+        own = list(base)
+        for i in draw.choice(200, 8, replace=False):
+            own[i] = f"own{k}x{i}"
+        texts.append(own)
+    texts += [[*t[:100], f"copy{k}", *t[101:]] for k, t in enumerate(texts[:40])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    checked, real = [], similar_texts.stored
+
+    def counted(df, name):
+        table = real(df, name)
+        if name == "similar_candidates":
+            checked.append(table.count())
+        return table
+
+    monkeypatch.setattr(similar_texts, "stored", counted)
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(docs).collect()}
+    sets = [plain_shingles(" ".join(t)) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if similar(sets[a], sets[b])]
+    assert 40 <= len(pairs) < 200 and got == grouped(range(len(sets)), pairs)
+    assert sum(checked) < 10 * len(texts)
+
+
+def test_crowded_pairs_hold_all_similar_ones(spark):
+    """Of random sets around a few centres, with components of some: no similar pair of two components is left out."""
+    draw, sets = np.random.default_rng(9), []
+    for centre in range(3):
+        core = draw.integers(0, 1 << 62, int(draw.integers(10, 120)))
+        for _ in range(60):
+            some = core[draw.random(len(core)) > draw.choice([0.0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([some, draw.integers(0, 1 << 62, int(draw.integers(0, 12)))])).tolist())
+    part = {k: k - k % 7 for k in range(0, len(sets), 3)}
+    table = spark.createDataFrame([(bytes([k]), x) for k, x in enumerate(sets)], "node binary, hashes array<long>")
+    parts = spark.createDataFrame([(bytes([k]), bytes([c])) for k, c in part.items()], "node binary, component binary")
+    found = [tuple(sorted((r["a"][0], r["b"][0]))) for r in crowded_pairs(table, parts, 0.8).collect()]
+    plain = [set(x) for x in sets]
+    asked = {(a, b) for b in range(len(sets)) for a in range(b) if similar(plain[a], plain[b]) and part.get(a, a) != part.get(b, b)}
+    assert len(found) == len(set(found)) and asked <= set(found) and len(asked) > 500
+
+
 def test_similar_groups_of_odd_rows(spark):
     body = " ".join(f"word{i}" for i in range(40))
     rows = [(5, None), (3, ""), (None, body), (7, body.upper()), (7, body.upper()), (9, f"{body} more"), (11, "one two"), (12, "one two three")]
