@@ -1,9 +1,11 @@
 """SimHash near-dedup with a wider reach: texts whose sets of word shingles are alike to a given share (Jaccard), by fingerprints of 256 bits.
 
 Sets of similarity s have a cosine of 2 s / (1 + s) at least, so their fingerprints differ in a share p = acos(2 s / (1 + s)) / pi of the
-bits, 15% at 0.8, in the mean. A bound on counts of wider segments that holds for so many bits leaves out next to nothing; the grid's
-segments here are single bits. A table of the grid takes a fixed random choice of bits of one word of the fingerprint, fingerprints
-that agree in them share a cell. The bits of a table grow with the logarithm of the number of texts, so a cell holds about 32 unrelated
+bits, 15% at 0.8, in the mean. The method is that of simhash.py: fingerprints are mapped to bit counts of segments of two bits, and a grid join finds those
+whose counts of some segments lie within Manhattan distance 1 beside others that are equal. Counts of any segments differ in sum by no more than the bits do.
+No four fixed quarters hold for so many bits, so the grid has more tables, each of which takes a fixed random choice of one word of the fingerprint:
+COUNTED segments, and bits that must be equal. A fingerprint looks into its own cell of a table and into those one step up.
+The bits of a table grow with the logarithm of the number of texts, so a fingerprint meets about 32 unrelated
 texts at any size. How many bits of a word differ is spread around its mean, and a pair with many is missed by more tables; the number of tables is worked
 out from that distribution, so that a pair of just the similarity is missed by all in 3 of 100 cases at any size. They grow as the
 power 0.3 of the texts. Candidates go on by another word's Hamming distance, by that of all bits and by the sets' sizes; the shingles of both
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ SEED = 42
 WORDS = 4
 #: Share of pairs at the similarity that all tables of the grid may miss.
 MISS = 0.03
-#: Unrelated texts in a cell: 2 to this power. Texts of a cell of twice as many rows are handled by pivots and rare shingles.
+#: Unrelated texts that a fingerprint meets in a table: 2 to this power.
 SPARE_BITS = 5
+#: A cell holds about five unrelated texts. Texts of a cell of more rows than this are handled by pivots and rare shingles.
+CROWDED = 16
+#: Segments of two bits of a table whose counts may lie one apart in all. Counts of unrelated texts do so in one of eight cases, as three equal bits.
+COUNTED, COUNTED_BITS = 4, 3
 #: Increments of the hashes of the fingerprint's second, third and fourth word.
 STEP = 0x9E3779B97F4A7C15
 #: Rows whose bits are added up in bytes.
@@ -102,27 +109,64 @@ def differing_share(similarity: float) -> float:
 
 
 def missed_share(bits: int, per_word: list[int], differing: float) -> float:
-    """The share of pairs that all tables miss: `per_word` tables of `bits` bits for each word of 64, each bit of which differs in a share `differing` of pairs."""
+    """The share of pairs that all tables miss: `per_word` tables for each word of 64 bits, each of which differs in a share `differing` of pairs; a table
+    asks for `bits` equal bits, and for counts of COUNTED segments within Manhattan distance 1."""
     spread = [math.comb(64, d) * differing**d * (1 - differing) ** (64 - d) for d in range(65)]
-    agree = [math.comb(64 - d, bits) / math.comb(64, bits) for d in range(65)]
+    # ways to lie that near with j differing bits: segments that differ in both keep their counts in half the cases; one bit more may differ in another
+    ways = [0.0] * (2 * COUNTED + 1)
+    for both in range(COUNTED + 1):
+        ways[2 * both] += math.comb(COUNTED, both) / 2**both
+        if both < COUNTED:
+            ways[2 * both + 1] += math.comb(COUNTED, both) / 2**both * 2 * (COUNTED - both)
+    other = 64 - bits - 2 * COUNTED
+    agree = [sum(w * math.comb(other, d - j) for j, w in enumerate(ways) if j <= d) / math.comb(64, d) for d in range(65)]
     return math.prod(sum(s * (1 - a) ** n for s, a in zip(spread, agree, strict=True)) for n in per_word)
 
 
-def tables(n: int, similarity: float) -> list[tuple[int, int]]:
-    """(word, mask as a signed long) of each table of the grid for n texts."""
-    k = min(64, max(8, math.ceil(math.log2(max(n, 2))) - SPARE_BITS))
+class Table(NamedTuple):
+    """Of the grid: a word of the fingerprint, the mask (as a signed long) of its bits that must be equal, those of the segments whose bits are counted."""
+
+    word: int
+    mask: int
+    segments: tuple[int, ...]
+
+
+def _mask(bits: list[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def count_grid(n: int, similarity: float) -> list[Table]:
+    """The grid's tables for n texts."""
+    k = min(64 - 2 * COUNTED, max(8, math.ceil(math.log2(max(n, 2))) - SPARE_BITS) - COUNTED_BITS)
     draw = random.Random(SEED)
     count, p = WORDS, differing_share(similarity)
     while missed_share(k, [len(range(w, count, WORDS)) for w in range(WORDS)], p) > MISS:
         count = math.ceil(count * 1.02)
-    masks = [sum(1 << b for b in draw.sample(range(64), k)) for _ in range(count)]
-    return [(t % WORDS, m - (1 << 64) if m >> 63 else m) for t, m in enumerate(masks)]
+    drawn = [draw.sample(range(64), k + 2 * COUNTED) for _ in range(count)]
+    return [Table(t % WORDS, _mask(d[:k]), tuple(_mask(d[i : i + 2]) for i in range(k, len(d), 2))) for t, d in enumerate(drawn)]
 
 
-def _cells(items: DataFrame, grid: list[tuple[int, int]], *also: str) -> DataFrame:
-    """node, also, cell, check (another word of the fingerprint): one row for each item and table."""
-    cells = [F.struct(F.xxhash64(F.lit(t), F.col(f"f{w}").bitwiseAND(F.lit(m))).alias("cell"), F.col(f"f{(w + 1) % WORDS}").alias("check")) for t, (w, m) in enumerate(grid)]
-    return items.select("node", *also, F.explode(F.array(*cells)).alias("c")).select("node", *also, F.col("c.cell").alias("cell"), F.col("c.check").alias("check"))
+def tables(n: int, similarity: float) -> list[tuple[int, int]]:
+    """(word, mask of the equal bits) of each table of the grid for n texts."""
+    return [(t.word, t.mask) for t in count_grid(n, similarity)]
+
+
+def _cells(items: DataFrame, grid: list[Table], *also: str) -> DataFrame:
+    """node, also, place (a table and its equal bits), counts (of its segments, in fields of two bits), check (another word of the fingerprint): one row for each item and table."""
+    cells = []
+    for t, (w, mask, segments) in enumerate(grid):
+        counts = sum((F.bit_count(F.col(f"f{w}").bitwiseAND(F.lit(m))) * (1 << 2 * i) for i, m in enumerate(segments)), F.lit(0))
+        cells.append(F.struct(F.xxhash64(F.lit(t), F.col(f"f{w}").bitwiseAND(F.lit(mask))).alias("place"), counts.alias("counts"), F.col(f"f{(w + 1) % WORDS}").alias("check")))
+    placed = items.select("node", *also, F.explode(F.array(*cells)).alias("c")).select("node", *also, "c.place", "c.counts", "c.check")
+    return placed.withColumn("cell", F.xxhash64("place", "counts"))
+
+
+def _looked(homes: DataFrame) -> DataFrame:
+    """homes with a row for the own cell (step 0) and for each cell one step up."""
+    steps = [F.when(F.shiftright("counts", 2 * i).bitwiseAND(F.lit(3)) < 2, F.lit(1 << 2 * i)) for i in range(COUNTED)]
+    rows = homes.withColumn("step", F.explode(F.array_compact(F.array(F.lit(0), *steps))))
+    return rows.withColumn("cell", F.xxhash64("place", F.col("counts") + F.col("step")))
 
 
 def _far(a: str, b: str) -> Column:
@@ -173,7 +217,7 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     most = [math.ceil(bits * p + 3.5 * math.sqrt(bits * p * (1 - p))) for bits in (64, 64 * WORDS)]
     # different sets of fewer shingles are less alike
     items = items.filter(F.col("n") * (1 - similarity) >= similarity - 1e-9)
-    grid = tables(items.count(), similarity)
+    grid = count_grid(items.count(), similarity)
 
     def near(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b; repeats allowed), each once, that fit by all bits and by size."""
@@ -195,7 +239,7 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         return pairs.filter(both >= (F.size("h_a") + F.size("h_b") - both) * similarity).select("a", "b")
 
     homes = stored(_cells(items, grid), "similar_homes")
-    hot = stored(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > (2 << SPARE_BITS)), "similar_hot")
+    hot = stored(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > CROWDED), "similar_hot")
     in_hot = stored(homes.join(hot, "cell", "left_semi"), "similar_in_hot")
     pivot = [F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "check") for k in range(2)]
     pivots = stored(in_hot.groupBy("cell").agg(F.array_distinct(F.array(F.min(pivot[0]), F.max(pivot[0]), F.min(pivot[1]), F.max(pivot[1]))).alias("p")), "similar_pivots")
@@ -208,13 +252,14 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     placed = stored(homes.join(crowded.withColumn("is_crowded", F.lit(True)), "node", "left").withColumn("is_crowded", F.col("is_crowded").isNotNull()), "similar_placed")
 
     def ends(df: DataFrame, end: str) -> DataFrame:
-        return df.select("cell", F.col("node").alias(end), F.col("check").alias(f"check_{end}"))
-
-    # crowded texts meet each other by their shingles alone
-    close = (F.col("a") > F.col("b")) & (_far("check_a", "check_b") <= most[0])
-    one = ends(placed.filter("NOT is_crowded"), "a").join(ends(placed, "b"), "cell").filter(close)
-    two = ends(placed.filter("is_crowded"), "a").join(ends(placed.filter("NOT is_crowded"), "b"), "cell").filter(close)
-    found = near(one.unionByName(two).select("a", "b"))
+        return df.select("cell", F.col("node").alias(end), F.col("check").alias(f"check_{end}"), *(["step"] if end == "a" else []))
+
+    # crowded texts meet each other by their shingles alone; those of one cell meet twice, those one step apart once
+    close = ((F.col("step") > 0) | (F.col("a") > F.col("b"))) & (F.col("a") != F.col("b")) & (_far("check_a", "check_b") <= most[0])
+    alone = placed.filter("NOT is_crowded")
+    one = ends(_looked(alone), "a").join(ends(placed, "b"), "cell").filter(close)
+    two = ends(_looked(placed.filter("is_crowded")), "a").join(ends(alone, "b"), "cell").filter(close)
+    found = near(one.unionByName(two).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     found = stored(verified(found.unionByName(among)), "similar_links")
     emptied(homes, in_hot, placed, sets)
     return first.unionByName(found)

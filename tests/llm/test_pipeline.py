@@ -13,7 +13,7 @@ import corpus_pipeline
 from tagsim.llm import similar_texts
 from tagsim.llm.common import stored
 from tagsim.llm.mixing import BLOCK, source_targets
-from tagsim.llm.similar_texts import crowded_pairs, drop_similar, similar_groups, tables, wide_fingerprint
+from tagsim.llm.similar_texts import COUNTED, WORDS, _cells, _looked, count_grid, crowded_pairs, drop_similar, similar_groups, tables, wide_fingerprint
 from tests.helpers import SMALL
 from tests.llm.test_native import plain_counts
 from tests.llm.test_near import grouped
@@ -255,6 +255,36 @@ def test_crowded_pairs_hold_all_similar_ones(spark):
     assert len(found) == len(set(found)) and asked <= set(found) and len(asked) > 500
 
 
+def meets(table, a, b) -> bool:
+    """Whether two fingerprints agree in the table's equal bits, and the counts of its segments lie within Manhattan distance 1."""
+    x, y = (int(f[table.word]) for f in (a, b))
+    apart = sum(abs((x & m % (1 << 64)).bit_count() - (y & m % (1 << 64)).bit_count()) for m in table.segments)
+    return (x ^ y) & table.mask % (1 << 64) == 0 and apart <= 1
+
+
+@pytest.mark.parametrize("n", [2_000, 10**7, 10**9])
+def test_counts_of_segments_find_pairs_of_just_the_similarity(n):
+    grid, draw, found = count_grid(n, 0.8), np.random.default_rng(n), 0
+    for _ in range(600):
+        own = np.unique(draw.integers(0, 1 << 63, 400, dtype=np.uint64))[:200]
+        draw.shuffle(own)
+        a, b = (wide_fingerprint(np.sort(h)) for h in (own[:180], own[20:]))
+        found += any(meets(t, a, b) for t in grid)
+    assert found >= 0.95 * 600 and all(len(t.segments) == COUNTED for t in grid)
+
+
+def test_cells_one_step_up_join_what_lies_within_manhattan_distance_1(spark):
+    """Each pair and table once, from one side or the other, and equal counts from both."""
+    grid, draw = count_grid(2_000, 0.8)[:3], np.random.default_rng(2)
+    start = draw.integers(0, 1 << 63, WORDS, dtype=np.uint64)
+    fps = [start ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (3, WORDS)).astype(np.uint64), axis=0) for _ in range(60)]
+    items = spark.createDataFrame([(bytes([i]), *f.view(np.int64).tolist()) for i, f in enumerate(fps)], "node binary, f0 long, f1 long, f2 long, f3 long")
+    homes = _cells(items, grid)
+    met = _looked(homes).selectExpr("node AS a", "cell", "step").join(homes.selectExpr("node AS b", "cell"), "cell").filter("a != b AND (step > 0 OR a > b)")
+    expected = Counter((i, j) for t in grid for j in range(60) for i in range(j) if meets(t, fps[i], fps[j]))
+    assert Counter(tuple(sorted((r["a"][0], r["b"][0]))) for r in met.collect()) == expected and len(expected) > 100
+
+
 def test_similar_groups_of_odd_rows(spark):
     body = " ".join(f"word{i}" for i in range(40))
     rows = [(5, None), (3, ""), (None, body), (7, body.upper()), (7, body.upper()), (9, f"{body} more"), (11, "one two"), (12, "one two three")]
