@@ -4,7 +4,7 @@ Sets of similarity s have a cosine of 2 s / (1 + s) at least, so their fingerpri
 bits, 15% at 0.8, in the mean. The method is that of simhash.py: fingerprints are mapped to bit counts of segments of two bits, and a grid join finds those
 whose counts of some segments lie within Manhattan distance 1 beside others that are equal. Counts of any segments differ in sum by no more than the bits do.
 No four fixed quarters hold for so many bits, so the grid has more tables, each of which takes a fixed random choice of one word of the fingerprint:
-COUNTED segments, and bits that must be equal. A fingerprint looks into its own cell of a table and into those one step up.
+COUNTED segments, and bits that must be equal: a place, where all fingerprints whose counts lie that near meet.
 The bits of a table grow with the logarithm of the number of texts, so a fingerprint meets about 32 unrelated
 texts at any size. How many bits of a word differ is spread around its mean, and a pair with many is missed by more tables; the number of tables is worked
 out from that distribution, so that a pair of just the similarity is missed by all in 3 of 100 cases at any size. They grow as the
@@ -34,8 +34,12 @@ WORDS = 4
 MISS = 0.03
 #: Unrelated texts that a fingerprint meets in a table: 2 to this power.
 SPARE_BITS = 5
-#: A cell holds about five unrelated texts. Texts of a cell of more rows than this are handled by pivots and rare shingles.
+#: Texts of a cell of more rows than this, and than a cell has of unrelated texts, are handled by pivots and rare shingles.
 CROWDED = 16
+#: Parities of a set of shingles.
+ODD_BITS = 512
+#: Rows of a table of long keys that may be sent to every executor once it has been counted.
+MAX_BROADCAST = 1_000_000
 #: Segments of two bits of a table whose counts may lie one apart in all. Counts of unrelated texts do so in one of eight cases, as three equal bits.
 COUNTED, COUNTED_BITS = 4, 3
 #: Increments of the hashes of the fingerprint's second, third and fourth word.
@@ -131,6 +135,13 @@ class Table(NamedTuple):
     segments: tuple[int, ...]
 
 
+def crowded_rows(n: int, grid: list[Table]) -> int:
+    """Rows of a cell up to which unrelated texts alone may lie in it: those of a cell where each counted segment has one bit set, the likeliest
+    counts by far (1 of 16), hold 8 to 16 of n texts in the mean."""
+    mean = n / 2 ** ((grid[0].mask & (1 << 64) - 1).bit_count() + COUNTED)
+    return max(CROWDED, math.ceil(mean + 6 * math.sqrt(mean)))
+
+
 def _mask(bits: list[int]) -> int:
     m = sum(1 << b for b in bits)
     return m - (1 << 64) if m >> 63 else m
@@ -169,6 +180,11 @@ def _looked(homes: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64("place", F.col("counts") + F.col("step")))
 
 
+def _ladder(counts: Column) -> Column:
+    """counts with 0, 1, 2 as 00, 01, 11: the bits that differ are the Manhattan distance. What `_looked` joins by cells meets at one place, in a row for each item and table."""
+    return counts.bitwiseOR(F.shiftright(counts, 1).bitwiseAND(F.lit(sum(1 << 2 * i for i in range(COUNTED)))))
+
+
 def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -178,7 +194,9 @@ def crowded_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataF
     are all that are similar.
 
     Similar sets share one of the rarest of each: those left when a share `similarity` of a set is taken away, and one more. Texts of
-    a large group that are less alike differ in just their rare shingles, so they don't meet, and pairs of a shingle's largest component are not formed."""
+    a large group that are less alike differ in just their rare shingles, so few meet, and pairs of a shingle's largest component are not formed. Of those
+    that meet, parities tell most that are not similar: a set's shingles are dealt to ODD_BITS places, and a bit says whether a place has an odd number; sets differ in as many
+    shingles at least as their bits do."""
     asked = stored(sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle")), "similar_shingles")
     # what one set alone has comes first and meets nothing
     shared = stored(asked.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "similar_shared")
@@ -186,6 +204,9 @@ def crowded_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataF
     ranked = asked.join(shared, "shingle").withColumn("own", F.col("n") - F.count(F.lit(1)).over(of_node)).withColumn("place", F.col("own") + F.row_number().over(of_node.orderBy("rows", "shingle")))
     rarest = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     rare = ranked.filter(F.col("place") <= rarest).select("node", "n", "shingle", F.col("place").cast("int").alias("place"))
+    word, bit = F.shiftrightunsigned("shingle", 6).bitwiseAND(F.lit(ODD_BITS // 64 - 1)), F.expr("shiftleft(1L, int(shingle & 63))")
+    odd = stored(asked.groupBy("node").agg(F.array(*(F.bit_xor(F.when(word == w, bit).otherwise(0)) for w in range(ODD_BITS // 64))).alias("odd")), "similar_odd")
+    rare = rare.join(odd, "node")
     rare = stored(rare.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "similar_rare")
     largest = rare.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("rows")).groupBy("shingle").agg(F.max_by("part", F.struct("rows", "part")).alias("part"))
     largest = stored(largest, "similar_largest")
@@ -194,11 +215,12 @@ def crowded_pairs(sets: DataFrame, parts: DataFrame, similarity: float) -> DataF
     emptied(asked, rare)
 
     def ends(df: DataFrame, end: str) -> DataFrame:
-        return df.select("shingle", F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "part", "place")))
+        return df.select("shingle", F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "part", "place", "odd")))
 
     # at the first shingle that two similar sets share, what is left of either from there on is enough to be similar
-    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-    able = (left * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6) & (F.col("part_a") != F.col("part_b"))
+    both, left = F.col("n_a") + F.col("n_b"), F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    differing = sum((F.bit_count(F.col("odd_a")[w].bitwiseXOR(F.col("odd_b")[w])) for w in range(ODD_BITS // 64)), F.lit(0))
+    able = (F.col("part_a") != F.col("part_b")) & (left * (1 + similarity) >= both * similarity - 1e-6) & (differing * (1 + similarity) <= both * (1 - similarity) + 1e-6)
     one = ends(rest, "a").join(ends(rest, "b"), "shingle").filter(able & (F.col("a") > F.col("b"))).select("a", "b")
     two = ends(rest, "a").join(ends(main, "b"), "shingle").filter(able).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return one.unionByName(two).distinct()
@@ -217,16 +239,15 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     most = [math.ceil(bits * p + 3.5 * math.sqrt(bits * p * (1 - p))) for bits in (64, 64 * WORDS)]
     # different sets of fewer shingles are less alike
     items = items.filter(F.col("n") * (1 - similarity) >= similarity - 1e-9)
-    grid = count_grid(items.count(), similarity)
+    n = items.count()
+    grid = count_grid(n, similarity)
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b; repeats allowed), each once, that fit by all bits and by size."""
+        """Those of pairs (a, b; repeats allowed), each once, that fit by all bits."""
         pairs = pairs.distinct()
         for end in ("a", "b"):
-            pairs = pairs.join(items.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *(F.col(f"f{w}").alias(f"{end}{w}") for w in range(WORDS))), end)
-        total = sum((_far(f"a{w}", f"b{w}") for w in range(1, WORDS)), _far("a0", "b0"))
-        sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
-        return pairs.filter((total <= most[1]) & sized).select("a", "b")
+            pairs = pairs.join(items.select(F.col("node").alias(end), *(F.col(f"f{w}").alias(f"{end}{w}") for w in range(WORDS))), end)
+        return pairs.filter(sum((_far(f"a{w}", f"b{w}") for w in range(1, WORDS)), _far("a0", "b0")) <= most[1]).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose sets of shingles are similar."""
@@ -238,30 +259,33 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         both = F.size(F.array_intersect("h_a", "h_b"))
         return pairs.filter(both >= (F.size("h_a") + F.size("h_b") - both) * similarity).select("a", "b")
 
-    homes = stored(_cells(items, grid), "similar_homes")
-    hot = stored(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > CROWDED), "similar_hot")
+    def sized(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity
+
+    homes = stored(_cells(items, grid, "n"), "similar_homes")
+    hot = stored(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > crowded_rows(n, grid)), "similar_hot")
     in_hot = stored(homes.join(hot, "cell", "left_semi"), "similar_in_hot")
-    pivot = [F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "check") for k in range(2)]
+    pivot = [F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "check") for k in range(2)]
     pivots = stored(in_hot.groupBy("cell").agg(F.array_distinct(F.array(F.min(pivot[0]), F.max(pivot[0]), F.min(pivot[1]), F.max(pivot[1]))).alias("p")), "similar_pivots")
-    first = in_hot.join(pivots, "cell").select("node", "check", F.explode("p").alias("p")).filter((F.col("node") != F.col("p.node")) & (_far("check", "p.check") <= most[0]))
+    first = in_hot.join(pivots, "cell").select("node", "n", "check", F.explode("p").alias("p")).filter((F.col("node") != F.col("p.node")) & sized("n", "p.n") & (_far("check", "p.check") <= most[0]))
     first = stored(verified(near(first.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))), "similar_pivot_links")
     crowded = stored(in_hot.select("node").distinct(), "similar_crowded")
     sets = stored(_shingle_sets(texts_of(crowded), size), "similar_crowded_sets")
     among = crowded_pairs(sets, components(first, "similar_parts"), similarity)
 
-    placed = stored(homes.join(crowded.withColumn("is_crowded", F.lit(True)), "node", "left").withColumn("is_crowded", F.col("is_crowded").isNotNull()), "similar_placed")
+    emptied(homes, in_hot)
+    marked = items.join(crowded.withColumn("is_crowded", F.lit(True)), "node", "left").withColumn("is_crowded", F.col("is_crowded").isNotNull())
+    marked = stored(marked.select("node", "n", "is_crowded", *(f"f{w}" for w in range(WORDS))), "similar_marked")
 
     def ends(df: DataFrame, end: str) -> DataFrame:
-        return df.select("cell", F.col("node").alias(end), F.col("check").alias(f"check_{end}"), *(["step"] if end == "a" else []))
-
-    # crowded texts meet each other by their shingles alone; those of one cell meet twice, those one step apart once
-    close = ((F.col("step") > 0) | (F.col("a") > F.col("b"))) & (F.col("a") != F.col("b")) & (_far("check_a", "check_b") <= most[0])
-    alone = placed.filter("NOT is_crowded")
-    one = ends(_looked(alone), "a").join(ends(placed, "b"), "cell").filter(close)
-    two = ends(_looked(placed.filter("is_crowded")), "a").join(ends(alone, "b"), "cell").filter(close)
-    found = near(one.unionByName(two).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        return _cells(df, grid, "n", "is_crowded").select("place", F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "check", "is_crowded")), _ladder(F.col("counts")).alias(f"ladder_{end}"))
+
+    # crowded texts meet each other by their shingles alone, so no more than a few texts of each cell of a place meet the others of that place
+    close = (F.col("is_crowded_a") | (F.col("a") > F.col("b"))) & (_far("ladder_a", "ladder_b") <= 1) & (_far("check_a", "check_b") <= most[0]) & sized("n_a", "n_b")
+    met = ends(marked, "a").join(ends(marked.filter("NOT is_crowded"), "b"), "place").filter(close)
+    found = near(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     found = stored(verified(found.unionByName(among)), "similar_links")
-    emptied(homes, in_hot, placed, sets)
+    emptied(sets, marked)
     return first.unionByName(found)
 
 
@@ -280,6 +304,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     def texts_of(nodes: DataFrame) -> DataFrame:
         asked = stored(items.select("node", F.col("least.row_key").alias("row_key")).join(nodes, "node"), "similar_asked")
         keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+        # other texts are left where they are
+        halves = asked.select(F.col("row_key.a").alias("half")).distinct()
+        keyed = keyed.join(F.broadcast(halves), F.col("row_key.a") == F.col("half"), "left_semi") if asked.count() <= MAX_BROADCAST else keyed
         return keyed.join(asked, "row_key").dropDuplicates(["node"])
 
     links = similar_links(items.drop("least"), texts_of, similarity, size)

@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tagsim.llm import similar_texts
 from tagsim.llm.common import stored
 from tagsim.llm.mixing import BLOCK, source_targets
-from tagsim.llm.similar_texts import COUNTED, WORDS, _cells, _looked, count_grid, crowded_pairs, drop_similar, similar_groups, tables, wide_fingerprint
+from tagsim.llm.similar_texts import COUNTED, WORDS, _cells, _ladder, _looked, count_grid, crowded_pairs, drop_similar, similar_groups, tables, wide_fingerprint
 from tests.helpers import SMALL
 from tests.llm.test_native import plain_counts
 from tests.llm.test_near import grouped
@@ -285,6 +286,44 @@ def test_cells_one_step_up_join_what_lies_within_manhattan_distance_1(spark):
     assert Counter(tuple(sorted((r["a"][0], r["b"][0]))) for r in met.collect()) == expected and len(expected) > 100
 
 
+def test_ladders_differ_by_the_manhattan_distance_of_counts(spark):
+    every = [[k // 3**i % 3 for i in range(COUNTED)] for k in range(3**COUNTED)]
+    packed = [(k, sum(c << 2 * i for i, c in enumerate(x))) for k, x in enumerate(every)]
+    ladder = {r["k"]: r["l"] for r in spark.createDataFrame(packed, "k int, counts int").select("k", _ladder(F.col("counts")).alias("l")).collect()}
+    assert all((ladder[i] ^ ladder[j]).bit_count() == sum(abs(x - y) for x, y in zip(a, b, strict=True)) for i, a in enumerate(every) for j, b in enumerate(every))
+
+
+def test_unrelated_texts_do_not_make_cells_crowded(spark, monkeypatch):
+    """15,000 random fingerprints, near the most for a table's bits: those of a table's fullest cells are more than CROWDED, and none of them goes to the shingles."""
+    fps = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, (15_000, WORDS))
+    items = spark.createDataFrame([(i.to_bytes(16, "big"), 100, *map(int, f)) for i, f in enumerate(fps)], "node binary, n long, f0 long, f1 long, f2 long, f3 long")
+    crowded, real = [], similar_texts.stored
+
+    def seen(df, name):
+        table = real(df, name)
+        if name == "similar_crowded":
+            crowded.append(table.count())
+        return table
+
+    monkeypatch.setattr(similar_texts, "stored", seen)
+    links = similar_texts.similar_links(items, lambda nodes: nodes.withColumn("text", F.lit("a b c d e")))
+    assert crowded == [0] and links.count() == 0
+    full = _cells(items, count_grid(15_000, 0.8)).groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert full > similar_texts.CROWDED
+
+
+def test_texts_just_less_alike_in_shared_shingles_are_not_checked(spark):
+    """Sets of 100 of 120 shingles, all common to many sets, share 83 in the mean: parities tell that."""
+    draw = np.random.default_rng(11)
+    core = draw.integers(0, 1 << 62, 120)
+    sets = [(bytes([k]), sorted(draw.choice(core, 100, replace=False).tolist())) for k in range(120)]
+    table = spark.createDataFrame(sets, "node binary, hashes array<long>")
+    parts = spark.createDataFrame([], "node binary, component binary")
+    found = {(r["a"][0], r["b"][0]) for r in crowded_pairs(table, parts, 0.8).collect()}
+    asked = {(a, b) for a in range(120) for b in range(a) if similar(set(sets[a][1]), set(sets[b][1]))}
+    assert asked <= found and len(found) < 120 * 119 / 2 / 2
+
+
 def test_similar_groups_of_odd_rows(spark):
     body = " ".join(f"word{i}" for i in range(40))
     rows = [(5, None), (3, ""), (None, body), (7, body.upper()), (7, body.upper()), (9, f"{body} more"), (11, "one two"), (12, "one two three")]
